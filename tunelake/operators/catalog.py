@@ -81,6 +81,12 @@ def data_files(files: DataFrame) -> DataFrame:
     ).orderBy("file_name")
 
 
+def json_files(files: DataFrame) -> DataFrame:
+    """Every JSON or JSON-lines file of a manifest, at any depth."""
+    name = F.col("file_name")
+    return files.filter(name.endswith(".json") | name.endswith(".jsonl"))
+
+
 # --- detection --------------------------------------------------------------
 def classify(records: DataFrame) -> DataFrame:
     """Add format, message_key and tag_style to each record."""
@@ -173,7 +179,12 @@ def count_examples(detected: DataFrame, registry: DataFrame | None = None) -> Da
 def list_datasets(
     detected: DataFrame, registry: DataFrame, files: DataFrame | None = None
 ) -> DataFrame:
-    """The dataset listing with counts, in name order."""
+    """The dataset listing with counts, in name order.
+
+    The detection result, one row per file, feeds several joins: it is written out once so
+    that the records are scanned once.
+    """
+    detected = ordered.cut_lineage(detected)
     files = detected.select("file_name") if files is None else files
     kept = drop_stale(registry, files)
     listing = union_listing(registered_listing(kept), discovered_listing(detected))
@@ -187,6 +198,7 @@ def list_datasets(
 
 def list_demo_datasets(detected: DataFrame, registry: DataFrame) -> DataFrame:
     """Listing of a bundled folder: no stale pass, counts from the folder's own files only."""
+    detected = ordered.cut_lineage(detected)
     listing = union_listing(
         registered_listing(registry, "demo"), discovered_listing(detected, "demo")
     )
