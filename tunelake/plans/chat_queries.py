@@ -11,19 +11,30 @@ STRIPPED = "regexp_replace(text, '(?s)<think>.*?(?:</think>|\\z)', '', 'g')"
 CHUNK = 9
 
 
-def tokens(spark, sf):
+VISIBLE_SQL = with_inputs(
+    f"""SELECT conv_id, turn, text FROM (SELECT conv_id, turn, translate({STRIPPED}, 'ĊĠ', CHR(10) || ' ') AS text
+      FROM answers) v WHERE text <> ''""",
+    "answers",
+)
+
+
+def cut_tokens(rows, with_last=False):
     """Answers cut into small tokens."""
-    rows = load(spark, sf, "answers")
     last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / CHUNK).cast("bigint")
-    cut = rows.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("seq"))
+    cut = rows.select("conv_id", "turn", "text", last.alias("end"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("seq"))
     return cut.select(
         "conv_id",
         "turn",
         "seq",
         F.substr("text", (F.col("seq") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("token"),
+        *([(F.col("seq") == F.col("end")).alias("last")] if with_last else []),
     )
 
 
+def tokens(spark, sf):
+    return cut_tokens(load(spark, sf, "answers"))
+
+
 def turns(spark, sf):
     return table(spark, sf, "conversations").withColumn("block", ordered.block_of("turn"))
 

@@ -8,7 +8,7 @@ from ..sources.files import plain_path
 
 
 def new_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", **options) -> DataFrame:
-    """Stream of (file, block, pos, record) lines; a file belongs to one micro-batch."""
+    """Stream of (file, block, record) lines; a file belongs to one micro-batch."""
     return (
         spark.readStream.option("pathGlobFilter", pattern)
         .options(**options)
@@ -16,7 +16,6 @@ def new_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", **opti
         .select(
             plain_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
             F.col("value").alias("record"),
         )
     )
@@ -41,7 +40,10 @@ def catalogue_writer(stream: DataFrame, out: str, checkpoint: str):
     whole = "content" in stream.columns
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        records = catalog.document_records(batch) if whole else batch
+        if whole:
+            records = catalog.document_records(batch)
+        else:
+            records = batch.withColumn("pos", F.monotonically_increasing_id())
         catalog.detect_files(records).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
