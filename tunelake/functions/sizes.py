@@ -8,21 +8,24 @@ GIB = 1024**3
 MIB = 1024**2
 
 
+def _fixed(n: Column, digits: int, unit: str) -> Column:
+    """Fixed number of decimals; a tie goes to the even digit."""
+    return F.format_string(f"%.{digits}f {unit}", F.bround(n, digits))
+
+
 def size_text(n: Column) -> Column:
     """One decimal, B to PB; NULL gives `?`."""
     expr = F.when(n.isNull(), F.lit("?"))
     for power, unit in enumerate(UNITS):
-        expr = expr.when(
-            n < float(1024 ** (power + 1)), F.format_string(f"%.1f {unit}", n / float(1024**power))
-        )
-    return expr.otherwise(F.format_string("%.1f PB", n / float(1024 ** len(UNITS))))
+        expr = expr.when(n < float(1024 ** (power + 1)), _fixed(n / float(1024**power), 1, unit))
+    return expr.otherwise(_fixed(n / float(1024 ** len(UNITS)), 1, "PB"))
 
 
 def short_size_text(n: Column) -> Column:
     """GB with two decimals, MB with one, else plain bytes."""
     return (
-        F.when(n >= GIB, F.format_string("%.2f GB", n / float(GIB)))
-        .when(n >= MIB, F.format_string("%.1f MB", n / float(MIB)))
+        F.when(n >= GIB, _fixed(n / float(GIB), 2, "GB"))
+        .when(n >= MIB, _fixed(n / float(MIB), 1, "MB"))
         .otherwise(F.format_string("%d B", n))
     )
 

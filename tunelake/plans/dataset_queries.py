@@ -133,7 +133,7 @@ SHAPE = """CASE WHEN NOT json_valid(content) THEN 'lines' WHEN json_type(content
 @named(
     "json_fallback",
     with_inputs(
-        f"""SELECT file, shape, CASE shape WHEN 'array' THEN json_array_length(content) WHEN 'object' THEN 1 ELSE 2 END AS examples,
+        f"""SELECT file, shape, CAST(CASE shape WHEN 'array' THEN json_array_length(content) WHEN 'object' THEN 1 ELSE 2 END AS BIGINT) AS examples,
         CASE WHEN shape <> 'object' THEN {format_sql('record')} END AS format
         FROM (SELECT *, CASE shape WHEN 'array' THEN json_extract(content, '$[0]') WHEN 'object' THEN CAST(content AS JSON)
           ELSE CAST(split_part(content, CHR(10), 1) AS JSON) END AS record
