@@ -7,6 +7,7 @@ of the raw record text, never at inferred columns.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
 from .constants import FROM_TAGS, READINESS_BANDS, ROLE_TAGS, TAG_FIELDS
 
 STRICT = {"allowSingleQuotes": "false"}
@@ -33,52 +34,92 @@ def single_object(text: Column) -> Column:
 def array_items(text: Column) -> Column:
     """Raw text of each element if the document is exactly one JSON array, else NULL."""
     wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", STRICT)
-    return F.when((F.size(wrapped) == 1) & text.rlike(r"^\s*\["), F.get(wrapped, F.lit(0)))
+    only = lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0)))
+    return F.when(text.rlike(r"^\s*\["), bind(wrapped, only))
+
+
+def _in(keys: Column, *names: str) -> Column:
+    test = F.array_contains(keys, names[0])
+    for name in names[1:]:
+        test = test & F.array_contains(keys, name)
+    return F.coalesce(test, F.lit(False))
 
 
 def has_key(record: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(record), key), F.lit(False))
+    return _in(F.json_object_keys(record), key)
+
+
+def key_of(keys: Column) -> Column:
+    return F.when(_in(keys, "messages"), F.lit("messages")).when(
+        _in(keys, "conversations"), F.lit("conversations")
+    )
 
 
-def message_key(record: Column) -> Column:
-    """Name of the field holding the messages: `messages` wins over `conversations`."""
+def shape_of(keys: Column) -> Column:
+    """What the record is: one of the five known shapes, or NULL."""
     return (
-        F.when(has_key(record, "messages"), F.lit("messages"))
-        .when(has_key(record, "conversations"), F.lit("conversations"))
+        F.when(_in(keys, "instruction", "output"), F.lit("instruction"))
+        .when(key_of(keys).isNotNull(), F.lit("chat"))
+        .when(_in(keys, "prompt", "completion"), F.lit("completion"))
+        .when(_in(keys, "text"), F.lit("text"))
     )
 
 
+def _format_of(shape: Column) -> Column:
+    return F.when(shape == "chat", F.lit("sharegpt")).when(shape.isNotNull(), F.lit("alpaca"))
+
+
+def record_shape(record: Column) -> Column:
+    return bind(F.json_object_keys(record), shape_of)
+
+
 def record_format(record: Column) -> Column:
     """`alpaca`, `sharegpt` or NULL, from the keys of one record."""
-    both = lambda a, b: has_key(record, a) & has_key(record, b)
-    return (
-        F.when(both("instruction", "output"), F.lit("alpaca"))
-        .when(message_key(record).isNotNull(), F.lit("sharegpt"))
-        .when(both("prompt", "completion") | has_key(record, "text"), F.lit("alpaca"))
-    )
+    return _format_of(record_shape(record))
+
+
+def _chat_key(keys: Column) -> Column:
+    return F.when(~_in(keys, "instruction", "output"), key_of(keys))
 
 
 def message_column(record: Column) -> Column:
-    """The message key, only where the record is a chat record."""
-    return F.when(record_format(record) == "sharegpt", message_key(record))
+    """Name of the field that holds the messages of a chat record: `messages` wins."""
+    return bind(F.json_object_keys(record), _chat_key)
+
+
+def _style_of(messages: Column) -> Column:
+    """`role` or `from` by the keys of the first message, if that is an object."""
+    first = F.when(messages.rlike(r"^\s*\[\s*\{"), F.get_json_object(messages, "$[0]"))
+    return bind(
+        F.json_object_keys(first),
+        lambda keys: F.when(_in(keys, "role"), F.lit("role")).when(_in(keys, "from"), F.lit("from")),
+    )
 
 
-def message_items(record: Column) -> Column:
-    """Raw text of each message of a chat record."""
-    raw = F.coalesce(
-        F.when(has_key(record, "messages"), F.get_json_object(record, "$.messages"))
-        .otherwise(F.get_json_object(record, "$.conversations"))
+def message_text(record: Column, key: Column) -> Column:
+    """Raw JSON text of the messages field."""
+    return F.when(key == "messages", F.get_json_object(record, "$.messages")).when(
+        key == "conversations", F.get_json_object(record, "$.conversations")
     )
-    return F.from_json(raw, "array<string>")
 
 
 def tag_style(record: Column) -> Column:
     """`role` or `from`, decided by the first message; NULL when it tells nothing."""
-    first = F.get(message_items(record), F.lit(0))
-    return F.when(
-        record_format(record) == "sharegpt",
-        F.when(has_key(first, "role"), F.lit("role")).when(has_key(first, "from"), F.lit("from")),
-    )
+    return bind(message_text(record, message_column(record)), _style_of)
+
+
+def classification(record: Column) -> Column:
+    """struct(format, message_key, tag_style) of one record, its keys read once."""
+
+    def describe(keys):
+        key = _chat_key(keys)
+        return F.struct(
+            _format_of(shape_of(keys)).alias("format"),
+            key.alias("message_key"),
+            bind(message_text(record, key), _style_of).alias("tag_style"),
+        )
+
+    return bind(F.json_object_keys(record), describe)
 
 
 def tag_map(style: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
 from .constants import (
     CHECKPOINT_PATTERN,
     MARGIN_FLOOR,
@@ -14,6 +15,7 @@ from .constants import (
 
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
 JSON_ONLY_WORD = r":\s*(null|true|false)\s*[,}]"
+NOT_PLAIN = r"None|True|False|null|true|false|,\s*\}"
 
 
 def is_metrics(line: Column) -> Column:
@@ -26,12 +28,13 @@ def _as_json(group: Column) -> Column:
     out = F.when(~group.rlike(JSON_ONLY_WORD), group)
     for word, value in (("None", "null"), ("True", "1"), ("False", "0")):
         out = F.regexp_replace(out, rf":\s*{word}(?=\s*[,}}])", f": {value}")
-    return F.regexp_replace(out, r",\s*\}$", "}")
+    out = F.regexp_replace(out, r",\s*\}$", "}")
+    return F.when(group.rlike(NOT_PLAIN), out).otherwise(group)
 
 
 def _number(raw: Column) -> Column:
     """float() of a text; the pattern keeps out suffixes a SQL cast would accept."""
-    return F.when(raw.rlike(NUMBER), F.trim(raw).try_cast("double"))
+    return bind(raw, lambda r: F.when(r.rlike(NUMBER), F.trim(r).try_cast("double")))
 
 
 def parse_metrics(line: Column) -> Column:
@@ -42,9 +45,11 @@ def parse_metrics(line: Column) -> Column:
         F.transform(groups, lambda g: F.from_json(_as_json(g), "map<string,string>", options)),
         lambda d: d.isNotNull(),
     )
-    first = F.get(dicts, F.lit(0))
-    fields = F.struct(*[_number(F.try_element_at(first, F.lit(k))).alias(k) for k in METRIC_FIELDS])
-    return F.when(is_metrics(line) & first.isNotNull(), fields)
+    values = F.transform(
+        dicts,
+        lambda d: F.struct(*[_number(F.try_element_at(d, F.lit(k))).alias(k) for k in METRIC_FIELDS]),
+    )
+    return F.when(is_metrics(line), F.get(values, F.lit(0)))
 
 
 def has_metrics(metrics: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect
-from ..functions.constants import IGNORED_FILES, SAMPLE_CAP
+from ..functions.binding import bind
+from ..functions.constants import FROM_TAGS, IGNORED_FILES, SAMPLE_CAP
 from ..functions.naming import base_name, extension, stem
 from . import ordered
 
@@ -34,33 +35,25 @@ def line_records(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("record").rlike(r"\S"))
 
 
-def document_shape(documents: DataFrame) -> DataFrame:
-    """How a `.json` document is to be read: array, object, or lines when it is neither."""
-    text = detect.strip_bom(F.col("content"))
-    return documents.withColumn(
-        "shape",
-        F.when(detect.array_items(text).isNotNull(), "array")
-        .when(detect.single_object(text).isNotNull(), "object")
-        .otherwise("lines"),
-    )
-
-
 def document_records(documents: DataFrame) -> DataFrame:
     """Records of `.json` documents (file, content), with the fallback to JSON lines.
 
-    Adds `shape`; a single object is one record, to be counted but never listed.
+    Adds `shape`: array, object (a single record, to be counted but never listed) or lines.
     """
-    shaped = document_shape(documents)
     text = detect.strip_bom(F.col("content"))
-    items = (
-        F.when(F.col("shape") == "array", detect.array_items(text))
-        .when(F.col("shape") == "object", F.array(text))
-        .otherwise(F.split(text, r"\r\n|\r|\n"))
-    )
-    return shaped.select(
-        *[c for c in documents.columns if c != "content"],
-        "shape",
-        F.posexplode(items).alias("pos", "record"),
+
+    def read(items):
+        part = lambda shape, values: F.struct(F.lit(shape).alias("shape"), values.alias("items"))
+        return (
+            F.when(items.isNotNull(), part("array", items))
+            .when(detect.single_object(text).isNotNull(), part("object", F.array(text)))
+            .otherwise(part("lines", F.split(text, r"\r\n|\r|\n")))
+        )
+
+    keep = [c for c in documents.columns if c != "content"]
+    parsed = documents.select(*keep, bind(detect.array_items(text), read).alias("_d"))
+    return parsed.select(
+        *keep, F.col("_d.shape").alias("shape"), F.posexplode("_d.items").alias("pos", "record")
     ).withColumn("block", F.lit(0).cast("bigint"))
 
 
@@ -90,14 +83,8 @@ def json_files(files: DataFrame) -> DataFrame:
 # --- detection --------------------------------------------------------------
 def classify(records: DataFrame) -> DataFrame:
     """Add format, message_key and tag_style to each record."""
-    record = detect.single_object(F.col("record"))
-    return (
-        records.withColumn("_object", record)
-        .withColumn("format", detect.record_format(F.col("_object")))
-        .withColumn("message_key", detect.message_column(F.col("_object")))
-        .withColumn("tag_style", detect.tag_style(F.col("_object")))
-        .drop("_object")
-    )
+    record = bind(detect.single_object(F.col("record")), detect.classification)
+    return records.withColumn("_c", record).select(*records.columns, "_c.*")
 
 
 def detect_files(records: DataFrame) -> DataFrame:
@@ -340,69 +327,58 @@ def normalise(records: DataFrame, registry: DataFrame | None = None) -> DataFram
     message, a plain text one message of role `text`.
     """
     record = F.col("record")
+    none = F.lit(None)
     if registry is not None:
         tags = registry.select(
             F.col("name").alias("dataset"),
             F.col("tags").alias("_tags"),
-            F.try_element_at("columns", F.lit("messages")).alias("_key"),
+            F.try_element_at("columns", F.lit("messages")).alias("_named"),
         )
         base = records.join(tags, "dataset", "left")
     else:
-        base = records.withColumn("_tags", F.lit(None).cast("map<string,string>")).withColumn(
-            "_key", F.lit(None).cast("string")
+        base = records.withColumn("_tags", none.cast("map<string,string>")).withColumn(
+            "_named", none.cast("string")
         )
-    base = base.withColumn(
-        "_key", F.when(detect.has_key(record, "conversations") & (
-            (F.col("_key") == "conversations") | ~detect.has_key(record, "messages")
-        ), "conversations").otherwise("messages")
-    )
     tag = lambda f: F.try_element_at("_tags", F.lit(f))
-    raw = F.when(
-        F.col("_key") == "conversations", F.get_json_object(record, "$.conversations")
-    ).otherwise(F.get_json_object(record, "$.messages"))
-
-    def message(m):
-        role = F.coalesce(
-            F.try_element_at(m, tag("role_tag")),
-            F.try_element_at(m, F.lit("role")),
-            F.try_element_at(m, F.lit("from")),
-        )
-        content = F.coalesce(
-            F.try_element_at(m, tag("content_tag")),
-            F.try_element_at(m, F.lit("content")),
-            F.try_element_at(m, F.lit("value")),
-        )
-        plain = (
-            F.when(role == F.coalesce(tag("user_tag"), F.lit("human")), "user")
-            .when(role == F.coalesce(tag("assistant_tag"), F.lit("gpt")), "assistant")
-            .when(role == F.coalesce(tag("system_tag"), F.lit("system")), "system")
-            .when(role == "human", "user")
-            .when(role == "gpt", "assistant")
+    first_of = lambda m, *keys: F.coalesce(*[F.try_element_at(m, k) for k in keys])
+
+    def plain(role):
+        return (
+            F.when(role == tag("user_tag"), "user")
+            .when(role == tag("assistant_tag"), "assistant")
+            .when(role == tag("system_tag"), "system")
+            .when(role == FROM_TAGS["user_tag"], "user")
+            .when(role == FROM_TAGS["assistant_tag"], "assistant")
             .otherwise(role)
         )
-        return F.struct(plain.alias("role"), content.alias("content"))
+
+    def message(m):
+        role = first_of(m, tag("role_tag"), F.lit("role"), F.lit("from"))
+        content = first_of(m, tag("content_tag"), F.lit("content"), F.lit("value"))
+        return F.struct(bind(role, plain).alias("role"), content.alias("content"))
 
     def turn(role, content):
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-    field = lambda f: F.get_json_object(record, f"$.{f}")
-    extra = F.coalesce(field("input"), F.lit(""))
-    question = F.concat(
-        F.coalesce(field("instruction"), F.lit("")),
-        F.when(extra != "", F.concat(F.lit("\n"), extra)).otherwise(""),
-    )
-    shape = detect.record_format(record)
-    chat = F.transform(F.from_json(raw, "array<map<string,string>>"), message)
-    messages = (
-        F.when(shape == "sharegpt", chat)
-        .when(
-            (shape == "alpaca") & detect.has_key(record, "instruction") & detect.has_key(record, "output"),
-            F.array(turn("user", question), turn("assistant", field("output"))),
+    def read(keys):
+        field = lambda f: F.get_json_object(record, f"$.{f}")
+        named = F.coalesce(F.array_contains(keys, F.col("_named")), F.lit(False))
+        key = F.when(named, F.col("_named")).otherwise(detect.key_of(keys))
+        chat = F.from_json(detect.message_text(record, key), "array<map<string,string>>")
+        question = F.concat(
+            F.coalesce(field("instruction"), F.lit("")),
+            bind(
+                F.coalesce(field("input"), F.lit("")),
+                lambda extra: F.when(extra != "", F.concat(F.lit("\n"), extra)).otherwise(""),
+            ),
         )
-        .when(
-            (shape == "alpaca") & detect.has_key(record, "prompt") & detect.has_key(record, "completion"),
-            F.array(turn("user", field("prompt")), turn("assistant", field("completion"))),
+        by_shape = lambda shape: (
+            F.when(shape == "chat", F.transform(chat, message))
+            .when(shape == "instruction", F.array(turn("user", question), turn("assistant", field("output"))))
+            .when(shape == "completion", F.array(turn("user", field("prompt")), turn("assistant", field("completion"))))
+            .when(shape == "text", F.array(turn("text", field("text"))))
         )
-        .when(shape == "alpaca", F.array(turn("text", field("text"))))
-    )
-    return base.withColumn("messages", messages).drop("record", "_tags", "_key")
+        return bind(detect.shape_of(keys), by_shape)
+
+    messages = bind(F.json_object_keys(record), read)
+    return base.withColumn("messages", messages).drop("record", "_tags", "_named")

@@ -34,15 +34,12 @@ def counters(lines: DataFrame) -> DataFrame:
 
 
 def latest_metrics(lines: DataFrame) -> DataFrame:
-    """The newest non-empty metrics of each run."""
+    """The newest non-empty metrics of each run; a run without any gives no row."""
     rows = metric_rows(lines)
+    some = F.coalesce(*METRIC_FIELDS).isNotNull()
     values = F.struct(*[F.col(k) for k in METRIC_FIELDS])
-    return (
-        rows.filter(F.coalesce(*METRIC_FIELDS).isNotNull())
-        .groupBy("run")
-        .agg(F.max_by(values, F.struct(*PLACE)).alias("m"))
-        .select("run", "m.*")
-    )
+    newest = F.max_by(values, F.when(some, F.struct(*PLACE))).alias("m")
+    return rows.groupBy("run").agg(newest).filter(F.col("m").isNotNull()).select("run", "m.*")
 
 
 def running_steps(lines: DataFrame) -> DataFrame:
