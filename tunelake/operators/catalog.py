@@ -20,14 +20,27 @@ REGISTRY_SCHEMA = (
 )
 
 
+def _but(df: DataFrame, *dropped: str) -> list[str]:
+    return [c for c in df.columns if c not in dropped]
+
+
+def exploded(documents: DataFrame) -> DataFrame:
+    """One row per item of `_items`.
+
+    The outer form keeps Spark from adding a filter on the size of the array, which would
+    parse every document once more.
+    """
+    rows = documents.select(
+        *_but(documents, "_items"), F.posexplode_outer("_items").alias("pos", "record")
+    )
+    return rows.filter(F.col("pos").isNotNull()).withColumn("block", F.lit(0).cast("bigint"))
+
+
 # --- scans over raw text ----------------------------------------------------
 def array_records(documents: DataFrame) -> DataFrame:
     """One row per element of each JSON-array document (file, content)."""
     items = detect.array_items(detect.strip_bom(F.col("content")))
-    return documents.select(
-        *[c for c in documents.columns if c != "content"],
-        F.posexplode(items).alias("pos", "record"),
-    ).withColumn("block", F.lit(0).cast("bigint"))
+    return exploded(documents.select(*_but(documents, "content"), items.alias("_items")))
 
 
 def line_records(lines: DataFrame) -> DataFrame:
@@ -50,11 +63,11 @@ def document_records(documents: DataFrame) -> DataFrame:
             .otherwise(part("lines", F.split(text, r"\r\n|\r|\n")))
         )
 
-    keep = [c for c in documents.columns if c != "content"]
+    keep = _but(documents, "content")
     parsed = documents.select(*keep, bind(detect.array_items(text), read).alias("_d"))
-    return parsed.select(
-        *keep, F.col("_d.shape").alias("shape"), F.posexplode("_d.items").alias("pos", "record")
-    ).withColumn("block", F.lit(0).cast("bigint"))
+    return exploded(
+        parsed.select(*keep, F.col("_d.shape").alias("shape"), F.col("_d.items").alias("_items"))
+    )
 
 
 def first_records(records: DataFrame, by=("file",)) -> DataFrame:
@@ -168,17 +181,35 @@ def list_datasets(
 ) -> DataFrame:
     """The dataset listing with counts, in name order.
 
-    The detection result, one row per file, feeds several joins: it is written out once so
-    that the records are scanned once.
+    Stale registry rows go, registered names win over discovered ones. The detection result,
+    one row per file, is used twice: it is written out once so that the records are scanned
+    once.
     """
     detected = ordered.cut_lineage(detected)
-    files = detected.select("file_name") if files is None else files
-    kept = drop_stale(registry, files)
-    listing = union_listing(registered_listing(kept), discovered_listing(detected))
-    counts = count_examples(detected, kept)
+    kept = drop_stale(registry, detected if files is None else files)
+    linked = detected.groupBy("file_name").agg(F.max("examples").alias("linked"))
+    registered = (
+        kept.select("name", "file_name", "formatting")
+        .join(linked, "file_name", "left")
+        .select("name", "formatting", "linked", F.lit(True).alias("registered"))
+    )
+    recognised = F.when(F.col("format").isNotNull(), F.col("file_name"))
+    rank = F.when(F.col("extension") == ".json", 0).when(F.col("extension") == ".jsonl", 1)
+    found = detected.groupBy("name").agg(
+        F.min_by("format", recognised).alias("format"), F.min_by("examples", rank).alias("own")
+    )
+    known = F.coalesce("registered", F.lit(False))
     return (
-        listing.join(counts, "name", "left")
-        .withColumn("examples", F.coalesce("examples", F.lit(0)))
+        registered.join(found, "name", "full_outer")
+        .filter(known | F.col("format").isNotNull())
+        .select(
+            "name",
+            F.when(known, F.coalesce("formatting", F.lit("alpaca")))
+            .otherwise(F.col("format"))
+            .alias("format"),
+            F.when(known, "registered").otherwise("auto").alias("source"),
+            F.coalesce("own", "linked", F.lit(0)).alias("examples"),
+        )
         .orderBy("name")
     )
 

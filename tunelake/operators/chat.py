@@ -19,64 +19,71 @@ PART_TURNS = 1 << 10
 ANSWER = ("conv_id", "turn")
 
 
-def _joined(items):
-    return F.array_join(F.transform(F.sort_array(items), lambda x: x["token"]), "")
-
-
 def assemble(tokens: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Token text in arrival order, as rows (conv_id, turn, part, text)."""
     return (
         tokens.withColumn("part", ordered.block_of("seq", part_tokens))
         .groupBy(*ANSWER, "part")
-        .agg(_joined(F.collect_list(F.struct("seq", "token"))).alias("text"))
+        .agg(F.expr("listagg(token, '') WITHIN GROUP (ORDER BY seq)").alias("text"))
     )
 
 
-def visible_answers(tokens: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Assembled answers without reasoning blocks and with repaired characters.
+def _part_edges(parts: DataFrame) -> DataFrame:
+    """What a part must know of its neighbours; only parts for which there is anything.
 
-    A block may span parts. The end of a part that could be the start of a tag moves to the
-    next part, so no tag is cut; then a part begins inside a block exactly if the last whole
-    tag before it is an opening one.
+    Works on a few characters per part: its first and last ones and its last whole tag.
+    `carry_in` and `carry_out` are the starts of a tag that end the text before the part and
+    the part itself; `starts_inside` says that a block is open when the part begins.
     """
-    parts = assemble(tokens.filter(F.col("token") != ""), part_tokens)
     edge = len(THINK_CLOSE) - 1
     by_part = Window.partitionBy(*ANSWER).orderBy("part")
-    ends = parts.select(*ANSWER, "part", F.right("text", F.lit(edge)).alias("end"))
-    ends = ends.withColumn(
-        "before", F.array_join(F.collect_list("end").over(by_part.rowsBetween(-edge, -1)), "")
-    ).withColumn("last", F.lead("part").over(by_part).isNull())
-    ends = ends.select(
+    short = parts.select(
         *ANSWER,
         "part",
-        "last",
-        tx.partial_tag(F.col("before")).alias("carry_in"),
-        tx.partial_tag(F.concat("before", "end")).alias("carry_out"),
+        F.left("text", F.lit(edge)).alias("head"),
+        F.right("text", F.lit(edge)).alias("end"),
+        tx.ends_in_reasoning(F.col("text")).alias("tag"),
     )
-    whole = F.concat("carry_in", "text")
-    cut = parts.join(ends, [*ANSWER, "part"]).select(
+    seen = short.withColumn(
+        "before", F.array_join(F.collect_list("end").over(by_part.rowsBetween(-edge, -1)), "")
+    ).withColumn("more", F.lead("part").over(by_part).isNotNull())
+    carried = seen.select(
         *ANSWER,
         "part",
-        F.when(F.col("last"), whole)
-        .otherwise(F.left(whole, F.length(whole) - F.length("carry_out")))
-        .alias("text"),
+        tx.partial_tag(F.col("before")).alias("carry_in"),
+        F.when(F.col("more"), tx.partial_tag(F.concat("before", "end"))).otherwise("").alias("carry_out"),
+        "head",
+        "tag",
     )
-    inside = cut.select(*ANSWER, "part", tx.ends_in_reasoning(F.col("text")).alias("ends_inside"))
-    inside = inside.select(
-        *ANSWER,
-        "part",
-        F.coalesce(
-            F.last("ends_inside", ignorenulls=True).over(
-                by_part.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(False),
-        ).alias("starts_inside"),
+    # a tag may be completed by the first characters of the part
+    tag = F.coalesce("tag", tx.ends_in_reasoning(F.concat("carry_in", "head")))
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.last(F.col("tag"), ignorenulls=True).over(earlier), F.lit(False))
+    return (
+        carried.withColumn("tag", tag)
+        .select(*ANSWER, "part", "carry_in", "carry_out", inside.alias("starts_inside"))
+        .filter((F.col("carry_in") != "") | (F.col("carry_out") != "") | F.col("starts_inside"))
     )
-    opened = F.when(F.col("starts_inside"), F.concat(F.lit(THINK_OPEN), "text")).otherwise(
-        F.col("text")
+
+
+def visible_answers(tokens: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Assembled answers without reasoning blocks and with repaired characters.
+
+    A block may span parts. The end of a part that could be the start of a tag moves to the
+    next part, so no tag is cut; then a part begins inside a block exactly if the last whole
+    tag before it is an opening one. An answer of one part has no edges and joins nothing.
+    """
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("seq").isNotNull()
+    # filtered once here, so that both uses below read the same shuffle
+    parts = assemble(tokens.filter((F.col("token") != "") & known), part_tokens).filter(
+        F.col("part").isNotNull()
     )
-    return cut.join(inside, [*ANSWER, "part"]).select(
-        *ANSWER, "part", tx.visible_text(opened).alias("text")
+    none = F.lit("")
+    opening = F.when(F.col("starts_inside"), F.lit(THINK_OPEN)).otherwise(none)
+    whole = F.concat(F.coalesce(opening, none), F.coalesce("carry_in", none), "text")
+    kept = F.left(whole, F.length(whole) - F.length(F.coalesce("carry_out", none)))
+    return parts.join(_part_edges(parts), [*ANSWER, "part"], "left").select(
+        *ANSWER, "part", tx.visible_text(kept).alias("text")
     )
 
 

@@ -18,7 +18,7 @@ BLOCK_ROWS = 1 << 20
 
 def block_of(seq, rows: int = BLOCK_ROWS):
     """Block of an integer position that is unique within its key: at most `rows` per block."""
-    return F.floor(F.col(seq) / F.lit(rows)).cast("bigint")
+    return F.expr(f"`{seq}` div {rows}")
 
 
 def _inside(keys, order, block):

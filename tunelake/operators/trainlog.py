@@ -72,11 +72,15 @@ def monitor(lines: DataFrame, target, limit: int = PATIENCE_LIMIT) -> DataFrame:
     """
     goal = F.lit(float(target)) if isinstance(target, (int, float)) else F.col(target)
     loss = logline.parse_metrics(F.col("line"))["loss"]
+    # the explicit shuffle holds only what both uses of `local` read, so they share it
     slim = (
         lines.filter(logline.is_metrics(F.col("line")))
+        .filter(F.col("run").isNotNull() & F.col("block").isNotNull())
         .select("run", *PLACE, loss.alias("loss"), goal.alias("target"))
-        .withColumn("judged", (F.col("loss").isNotNull()).cast("bigint"))
-        .withColumn("hit", logline.within_target(F.col("loss"), F.col("target")))
+        .repartition("run", "block")
+    )
+    slim = slim.withColumn("judged", F.col("loss").isNotNull().cast("bigint")).withColumn(
+        "hit", logline.within_target(F.col("loss"), F.col("target"))
     )
     inside = ordered._inside(["run"], ["line_no"], "block")
     local = slim.withColumn("_step", F.count(F.lit(1)).over(inside)).withColumn(
@@ -89,7 +93,7 @@ def monitor(lines: DataFrame, target, limit: int = PATIENCE_LIMIT) -> DataFrame:
         F.sum("judged").alias("judged"),
         F.max("_hit_at").alias("hit_at"),
     )
-    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ordered._earlier_blocks(["run"], "block")
     carry = totals.select(
         "run",
         "block",
@@ -107,13 +111,12 @@ def monitor(lines: DataFrame, target, limit: int = PATIENCE_LIMIT) -> DataFrame:
     return (
         local.join(carry, ["run", "block"])
         .withColumn("_last_hit", last_hit)
-        .filter(F.col("loss").isNotNull())
+        .filter(F.col("judged") == 1)
         .select(
             "run",
             *PLACE,
             (F.col("c_step") + F.col("_step")).alias("step"),
             "loss",
-            "target",
             "hit",
             F.col("_last_hit").isNotNull().alias("target_hit"),
             F.coalesce(

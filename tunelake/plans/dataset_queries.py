@@ -293,7 +293,7 @@ def tag_mapping(spark, sf):
 )
 def normalised_messages(spark, sf):
     rows = catalog.normalise(load(spark, sf, "message_records"))
-    return rows.select("conv_id", "turn", F.inline("messages"))
+    return rows.select("conv_id", "turn", F.inline_outer("messages")).filter("role is not null")
 
 
 @named(
@@ -303,16 +303,17 @@ def normalised_messages(spark, sf):
         FROM (SELECT d.doc_id AS pos, i, CASE WHEN d.doc_id % 8 = 4 THEN 'text' WHEN d.doc_id % 8 = 6 THEN NULL WHEN i = 0 THEN 'user' ELSE 'assistant' END AS role,
             CASE d.doc_id % 8 WHEN 4 THEN CASE WHEN i = 0 THEN text END WHEN 6 THEN NULL WHEN 7 THEN CASE WHEN i = 1 THEN text ELSE '' END
               ELSE CASE WHEN i = 0 THEN substr(text, 1, 40) ELSE text END END AS content
-          FROM documents d, (VALUES (0), (1)) v(i) WHERE d.doc_id % 8 <> 5 AND NOT (d.doc_id % 8 = 4 AND i = 1)) x GROUP BY pos""",
+          FROM documents d, (VALUES (0), (1)) v(i) WHERE d.doc_id % 8 <> 5 AND NOT (d.doc_id % 8 = 4 AND i = 1)) x GROUP BY pos
+        UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 8 = 5""",
     ),
 )
 def normalised_records(spark, sf):
     """Records of every shape, read by their dataset's registered tags where there are any."""
     rows = catalog.normalise(raw_records(spark, sf), registry_frame(spark, sf))
     sizes = F.transform("messages", lambda m: F.coalesce(F.length(m["content"]), F.lit(0)))
-    return rows.filter(F.col("messages").isNotNull()).select(
+    return rows.select(
         "pos",
-        F.size("messages").cast("bigint").alias("messages"),
+        F.when(F.col("messages").isNotNull(), F.size("messages").cast("bigint")).alias("messages"),
         F.get("messages", F.lit(0))["role"].alias("first_role"),
         F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("chars"),
     )

@@ -203,8 +203,21 @@ def with_inputs(body: str, *names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names) + " " + body
 
 
+# tables whose rows are parsed or rewritten at some cost
+COSTLY = ["documents", "events", "conversations", "pages"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    A file of one row group is one task however many cores there are. Only then are the rows
+    of a costly table spread; a table of many splits is never shuffled here.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in COSTLY and rows.rdd.getNumPartitions() * 2 <= cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

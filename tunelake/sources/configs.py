@@ -26,7 +26,7 @@ def yaml_scalar(raw: Column) -> Column:
 def _lines(documents: DataFrame) -> DataFrame:
     keep = [c for c in documents.columns if c != "content"]
     return documents.select(
-        *keep, F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("line_no", "line")
+        *keep, F.posexplode_outer(F.split("content", r"\r\n|\r|\n")).alias("line_no", "line")
     )
 
 
