@@ -7,6 +7,7 @@ from tests.conftest import rows
 from tunelake.functions import detect
 from tunelake.operators import catalog
 from tunelake.sources import files, registry as registry_io
+from tunelake.sources.datasets import scan_folder
 
 ROLE = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
 FROM = [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]
@@ -70,10 +71,7 @@ def folder(tmp_path):
 
 
 def scan(spark, folder):
-    lines = files.read_jsonl(spark, str(folder))
-    docs = files.read_json_documents(spark, str(folder))
-    docs = docs.filter(~F.col("file").endswith("dataset_info.json"))
-    return catalog.detect_files(lines).unionByName(catalog.detect_files(catalog.document_records(docs)))
+    return scan_folder(spark, str(folder))
 
 
 def test_scan_folder(spark, folder):
@@ -86,6 +84,7 @@ def test_scan_folder(spark, folder):
         "crlf.jsonl": ("alpaca", None, None, 2),
         "misnamed.json": ("sharegpt", "conversations", "from", 2),
         "object.json": (None, None, None, 1),
+        "empty.json": (None, None, None, 0),
         "scalars.json": (None, None, None, 2),
         "a b+c.jsonl": ("alpaca", None, None, 1),
     }

@@ -28,6 +28,9 @@ def test_first_n(spark, n, block):
     got = rows(ordered.first_n(df, ["k"], ["seq"], "b", n), "k", "seq")
     want = [(k, i) for key in ("hot", "cold") for k, i in [d for d in data if d[0] == key][:n]]
     assert got == sorted(want, key=lambda t: (t[0], str(t[1])))
+    got = rows(ordered.first_n(df, ["k"], ["seq"], "b", n, last=True), "k", "seq")
+    want = [(k, i) for key in ("hot", "cold") for k, i in [d for d in data if d[0] == key][-n:]]
+    assert got == sorted(want, key=lambda t: (t[0], str(t[1])))
 
 
 def test_numbered(spark):

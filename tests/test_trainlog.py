@@ -157,6 +157,9 @@ def test_tail(spark):
     df = spark.createDataFrame([("r", i, f"Epoch {i}") for i in range(10)] + [("s", 0, "x")], "run string, line_no bigint, line string")
     got = trainlog.tail(df.withColumn("block", ordered.block_of("line_no", 4)), 5)
     assert [r["line"] for r in got.collect()] == [f"Epoch {i}" for i in range(5, 10)] + ["x"]
+    many = [("r", i, f"Epoch {i}") for i in range(2500)]
+    big = spark.createDataFrame(many, "run string, line_no bigint, line string").withColumn("block", ordered.block_of("line_no", 300))
+    assert [r["line_no"] for r in trainlog.tail(big, 1200).collect()] == list(range(1300, 2500))
     assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
 
 

@@ -48,23 +48,28 @@ def line_records(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("record").rlike(r"\S"))
 
 
+def _read_document(text, use):
+    """use(shape, items) of a `.json` text: an array, a single object, or else lines."""
+    lines = F.split(text, r"\r\n|\r|\n")
+    return bind(
+        detect.array_items(text),
+        lambda items: F.when(items.isNotNull(), use("array", items))
+        .when(detect.single_object(text).isNotNull(), use("object", F.array(text)))
+        .otherwise(use("lines", lines)),
+    )
+
+
 def document_records(documents: DataFrame) -> DataFrame:
     """Records of `.json` documents (file, content), with the fallback to JSON lines.
 
     Adds `shape`: array, object (a single record, to be counted but never listed) or lines.
     """
-    text = detect.strip_bom(F.col("content"))
-
-    def read(items):
-        part = lambda shape, values: F.struct(F.lit(shape).alias("shape"), values.alias("items"))
-        return (
-            F.when(items.isNotNull(), part("array", items))
-            .when(detect.single_object(text).isNotNull(), part("object", F.array(text)))
-            .otherwise(part("lines", F.split(text, r"\r\n|\r|\n")))
-        )
-
     keep = _but(documents, "content")
-    parsed = documents.select(*keep, bind(detect.array_items(text), read).alias("_d"))
+    read = _read_document(
+        detect.strip_bom(F.col("content")),
+        lambda shape, items: F.struct(F.lit(shape).alias("shape"), items.alias("items")),
+    )
+    parsed = documents.select(*keep, read.alias("_d"))
     return exploded(
         parsed.select(*keep, F.col("_d.shape").alias("shape"), F.col("_d.items").alias("_items"))
     )
@@ -100,31 +105,54 @@ def classify(records: DataFrame) -> DataFrame:
     return records.withColumn("_c", record).select(*records.columns, "_c.*")
 
 
-def detect_files(records: DataFrame) -> DataFrame:
-    """Format and number of examples of each file, in one pass over the records.
-
-    The count is partial per task; only one record per file and task is shuffled.
-    """
-    shaped = records if "shape" in records.columns else records.withColumn("shape", F.lit("lines"))
-    files = shaped.groupBy("file").agg(
-        F.min_by("record", F.struct("block", "pos")).alias("record"),
-        F.first("shape").alias("shape"),
-        F.count_if(F.col("record").rlike(r"\S")).alias("examples"),
-    )
-    listed = F.col("shape") != "object"
+def _described(files: DataFrame) -> DataFrame:
+    """Detected files from rows (file, record = first record or NULL, examples)."""
     name = base_name(F.col("file"))
     return classify(files).select(
         stem(name).alias("name"),
         "file",
         name.alias("file_name"),
         extension(name).alias("extension"),
-        F.when(listed, F.col("format")).alias("format"),
-        F.when(listed, F.col("message_key")).alias("message_key"),
-        F.when(listed, F.col("tag_style")).alias("tag_style"),
+        "format",
+        "message_key",
+        "tag_style",
         "examples",
     )
 
 
+def detect_files(records: DataFrame, from_files: bool = False) -> DataFrame:
+    """Format and number of examples of each file, in one pass over the records.
+
+    The count is partial per task; only one record per file and task is shuffled. Records
+    scanned from files start in block 0: with `from_files` the other blocks carry no text.
+    """
+    head = F.when(F.col("block") == 0, F.col("record")) if from_files else F.col("record")
+    slim = records.select(
+        "file", "block", "pos", head.alias("record"), F.col("record").rlike(r"\S").alias("filled")
+    )
+    return _described(
+        slim.groupBy("file").agg(
+            F.min_by("record", F.struct("block", "pos")).alias("record"),
+            F.count_if("filled").alias("examples"),
+        )
+    )
+
+
+def detect_documents(documents: DataFrame) -> DataFrame:
+    """Format and number of examples of `.json` documents (file, content), without a shuffle.
+
+    A document that is one object counts as one example and has no format.
+    """
+
+    def head(shape, items):
+        first = F.lit(None).cast("string") if shape == "object" else F.get(items, F.lit(0))
+        filled = F.filter(items, lambda x: x.rlike(r"\S")) if shape == "lines" else items
+        return F.struct(first.alias("record"), F.size(filled).cast("bigint").alias("examples"))
+
+    read = _read_document(detect.strip_bom(F.col("content")), head)
+    return _described(documents.select("file", read.alias("_d")).select("file", "_d.*"))
+
+
 # --- listing and counting ---------------------------------------------------
 def drop_stale(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry rows whose file exists, plus the hub rows that have no file."""

@@ -33,9 +33,12 @@ def _earlier_blocks(keys, block):
     return Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried(totals: DataFrame, keys, block: str, sums=(), maxes=()) -> DataFrame:
-    """Per (key, block): the sums / maxima over all earlier blocks of the key."""
-    before = _earlier_blocks(keys, block)
+def carried(
+    totals: DataFrame, keys, block: str, sums=(), maxes=(), later: bool = False
+) -> DataFrame:
+    """Per (key, block): the sums / maxima over all earlier (or later) blocks of the key."""
+    order = F.col(block).desc() if later else F.col(block)
+    before = _earlier_blocks(keys, order)
     return totals.select(
         *keys,
         block,
@@ -70,15 +73,16 @@ def running(df: DataFrame, keys, order, block: str, sums=None, maxes=None) -> Da
     )
 
 
-def first_n(df: DataFrame, keys, order, block: str, n: int) -> DataFrame:
-    """The first n rows of each key, in order.
+def first_n(df: DataFrame, keys, order, block: str, n: int, last: bool = False) -> DataFrame:
+    """The first (or last) n rows of each key, in order.
 
     Blocks that start after the n-th row are dropped by their counts alone, so what is left
     of a key is at most n rows plus one block.
     """
     counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("rows"))
-    needed = carried(counts, keys, block, sums=["rows"]).filter(F.col("_before_rows") < n)
-    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    needed = carried(counts, keys, block, sums=["rows"], later=last).filter(F.col("_before_rows") < n)
+    ordering = [F.col(c).desc() for c in order] if last else list(order)
+    inside = Window.partitionBy(*keys, block).orderBy(*ordering)
     return (
         df.join(needed, [*keys, block])
         .withColumn("_at", F.col("_before_rows") + F.row_number().over(inside))

@@ -143,9 +143,9 @@ SHAPE = """CASE WHEN NOT json_valid(content) THEN 'lines' WHEN json_type(content
 )
 def json_fallback(spark, sf):
     docs = load(spark, sf, "dataset_documents").select("file", "content")
-    rec = catalog.document_records(docs)
-    shapes = rec.groupBy("file").agg(F.first("shape").alias("shape"))
-    found = catalog.detect_files(rec)
+    counted = catalog.document_records(docs).filter(F.col("record").rlike(r"\S"))
+    shapes = counted.groupBy("file", "shape").agg(F.count(F.lit(1)).alias("examples"))
+    found = catalog.detect_documents(docs).select("file", "format")
     return shapes.join(found, "file").select("file", "shape", "examples", "format")
 
 

@@ -194,10 +194,12 @@ def found_adapters(spark, sf):
 @named(
     "adapters_by_base",
     with_inputs("", "adapter_configs").rstrip()
-    + f", {ADAPTERS} SELECT base_model, CAST(0 AS BIGINT) AS part, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM adapters GROUP BY base_model",
+    + f""", {ADAPTERS} SELECT base_model, part, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM (
+      SELECT *, CAST(floor((row_number() OVER (PARTITION BY base_model ORDER BY path) - 1) / {inventory.PATHS_PER_ROW}) AS BIGINT) AS part
+      FROM adapters) a GROUP BY base_model, part""",
 )
 def adapters_by_base(spark, sf):
-    rows = inventory.adapters_by_base(found_adapters(spark, sf), per_row=1_000_000)
+    rows = inventory.adapters_by_base(found_adapters(spark, sf))
     return rows.select(
         "base_model", "part", F.size("paths").cast("bigint").alias("n"), F.array_join("paths", ",").alias("paths")
     )

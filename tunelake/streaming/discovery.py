@@ -41,9 +41,10 @@ def catalogue_writer(stream: DataFrame, out: str, checkpoint: str):
 
     def add(batch: DataFrame, batch_id: int) -> None:
         if whole:
-            records = catalog.document_records(batch)
+            found = catalog.detect_documents(batch)
         else:
             records = batch.withColumn("pos", F.monotonically_increasing_id())
-        catalog.detect_files(records).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            found = catalog.detect_files(records, from_files=True)
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
