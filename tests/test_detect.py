@@ -189,7 +189,9 @@ def test_typed_array_and_jsonl_write(spark, tmp_path):
     write(tmp_path / "big.json", json.dumps([{"instruction": "q", "output": str(i)} for i in range(50)], indent=1))
     typed = files.read_typed_array(spark, str(tmp_path / "big.json"), "instruction string, output string")
     assert typed.count() == 50
-    records = spark.createDataFrame([("d1", '{"text": "a"}'), ("d2", '{"text": "b"}')], "dataset string, record string")
+    records = spark.createDataFrame(
+        [("d1", 0, 0, '{"text": "a"}'), ("d2", 0, 1, '{"text": "b"}')], "dataset string, block bigint, pos bigint, record string"
+    )
     files.write_jsonl(records, str(tmp_path / "out"))
     assert rows(files.read_lines(spark, str(tmp_path / "out"), recursive=True), "record") == [('{"text": "a"}',), ('{"text": "b"}',)]
 

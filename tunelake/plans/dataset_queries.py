@@ -117,7 +117,7 @@ def json_array_records(spark, sf):
 def jsonl_scan(spark, sf):
     """Write every record as JSON lines, then scan the files."""
     out = scratch(spark, "jsonl")
-    files.write_jsonl(load(spark, sf, "raw_records"), out)
+    files.write_jsonl(raw_records(spark, sf), out)
     lines = catalog.line_records(files.read_lines(spark, out, recursive=True))
     seen = lines.withColumn("dataset", F.regexp_extract("file", r"dataset=([^/]+)/", 1))
     return seen.groupBy("dataset").agg(

@@ -7,7 +7,7 @@ from ..operators import ordered
 from ..sources import files
 from ..streaming import discovery, logs, reasoning
 from . import chat_queries, dataset_queries, log_queries
-from .inputs import INPUTS, load, table
+from .inputs import INPUTS, table
 from .named import named
 from .session import conf, scratch
 
@@ -123,7 +123,7 @@ def live_visible_text(spark, sf):
 def live_discovery(spark, sf):
     """Records land as JSON-lines files, then a stream finds and classifies the files."""
     folder, out = scratch(spark, "landing"), scratch(spark, "found")
-    files.write_jsonl(load(spark, sf, "raw_records"), folder)
+    files.write_jsonl(dataset_queries.raw_records(spark, sf), folder)
     stream = discovery.new_lines(spark, folder, "*.txt", recursiveFileLookup="true")
     writer = discovery.catalogue_writer(stream, out, scratch(spark, "stream-state"))
     writer.trigger(availableNow=True).start().awaitTermination()

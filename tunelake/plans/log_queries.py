@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logline
 from ..operators import ordered, trainlog
-from ..sources import logs
+from ..sources import files, logs
 from .inputs import load, with_inputs
 from .named import named
 from .session import scratch
@@ -67,19 +67,26 @@ def outcome(spark, sf):
     return trainlog.outcomes(judged(spark, sf))
 
 
+COHORTS = 32
+
+
 @named(
     "log_scan",
     log_sql(
-        """SELECT run, count(*) AS lines, count(*) FILTER (m) AS steps, CAST(sum(length(line)) AS BIGINT) AS chars FROM parsed GROUP BY run"""
+        f"""SELECT 'cohort_' || CAST(substr(run, 5) AS BIGINT) % {COHORTS} AS run, count(*) AS lines, count(*) FILTER (m) AS steps,
+        CAST(sum(length(line)) AS BIGINT) AS chars FROM parsed GROUP BY 1"""
     ),
 )
 def log_scan(spark, sf):
-    """Write the lines as log files, one folder per run, then scan the files."""
+    """Write the lines as log files of a fixed number of run cohorts, then scan the files."""
     out = scratch(spark, "logs")
-    rows = load(spark, sf, "log_lines").select("run", F.concat("line", F.lit("  ")).alias("value"))
-    rows.write.partitionBy("run").text(out)
+    cohort = F.concat(F.lit("cohort_"), (F.expr("substr(run, 5)").cast("bigint") % COHORTS).cast("string"))
+    rows = log_lines(spark, sf).select(
+        cohort.alias("cohort"), "block", "line_no", F.concat("line", F.lit("  ")).alias("line")
+    )
+    files.write_lines(rows, out, "cohort", "line", "line_no")
     lines = logs.read_logs(spark, out, pattern="*.txt")
-    run = F.regexp_extract("run", r"run=(.*)$", 1)
+    run = F.regexp_extract("run", r"cohort=(.*)$", 1)
     return lines.groupBy(run.alias("run")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(logline.is_metrics(F.col("line"))).alias("steps"),

@@ -76,8 +76,18 @@ def write_json(listing: DataFrame, path: str) -> None:
     listing.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def write_lines(rows: DataFrame, path: str, folder: str, text: str, order: str = "pos") -> None:
+    """Text lines in one folder per value of `folder`, about one file per (folder, block).
+
+    Rows are clustered by (folder, block) first: without it every task would add a file to
+    every folder, and by the folder alone a large one would be written by one task.
+    """
+    clustered = rows.repartition(folder, "block").sortWithinPartitions(folder, "block", order)
+    clustered.select(folder, F.col(text).alias("value")).write.mode("errorifexists").partitionBy(
+        folder
+    ).text(path)
+
+
 def write_jsonl(records: DataFrame, path: str) -> None:
-    """Raw records back to JSON lines, one folder per dataset."""
-    records.select("dataset", F.col("record").alias("value")).write.mode(
-        "errorifexists"
-    ).partitionBy("dataset").text(path)
+    """Raw records (dataset, block, pos, record) back to JSON lines, one folder per dataset."""
+    write_lines(records, path, "dataset", "record")

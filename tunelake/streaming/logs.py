@@ -19,7 +19,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 STATE = (
     "next_line bigint, last_line bigint, steps bigint, total_steps bigint, best_loss double, "
-    "best_step bigint, patience bigint, target_hit boolean, stop_step bigint, late_lines bigint"
+    "best_step bigint, patience bigint, target_hit boolean, stop_step bigint, late_lines bigint, "
+    "early_lines bigint"
 )
 PENDING = "is_metrics boolean, judged boolean, loss double, hit boolean, total_steps bigint"
 OUTPUT = (
@@ -27,7 +28,7 @@ OUTPUT = (
     "best_step bigint, patience bigint, target_hit boolean, early_stopped boolean, "
     "stop_step bigint, late_lines bigint"
 )
-START = (0, -1, 0, None, None, None, 0, False, None, 0)
+START = (0, -1, 0, None, None, None, 0, False, None, 0, 0)
 
 
 def metrics_stream(lines: DataFrame) -> DataFrame:
@@ -49,10 +50,11 @@ def monitor_processor(dense: bool, limit: int):
             self.pending = handle.getMapState("pending", "line_no bigint", PENDING)
 
         def handleInputRows(self, key, rows, timer_values):
-            state = self.state.get() if self.state.exists() else START
-            (next_line, last_line, steps, total, best, best_step, patience, hit_seen, stop, late) = state
+            state = self.state.get() or START
+            next_line, last_line, steps, total, best, best_step = state[:6]
+            patience, hit_seen, stop, late, early = state[6:]
             batch = pd.concat(list(rows), ignore_index=True)
-            held = [(k[0], *v) for k, v in self.pending.iterator()] if dense else []
+            held = [(k[0], *v) for k, v in self.pending.iterator()] if early else []
             if held:
                 columns = ["line_no", "is_metrics", "judged", "loss", "hit", "total_steps"]
                 batch = pd.concat([batch[columns], pd.DataFrame(held, columns=columns)], ignore_index=True)
@@ -84,8 +86,10 @@ def monitor_processor(dense: bool, limit: int):
             if ready:
                 last_line = int(at[ready - 1])
                 next_line = last_line + 1
-            if dense:
+            if early:
                 self.pending.clear()
+            if dense:
+                early = len(batch) - ready
                 for row in batch.iloc[ready:].itertuples(index=False):
                     seen = None if pd.isna(row.total_steps) else int(row.total_steps)
                     loss = None if row.loss is None else float(row.loss)
@@ -94,7 +98,7 @@ def monitor_processor(dense: bool, limit: int):
                         (bool(row.is_metrics), bool(row.judged), loss, bool(row.hit), seen),
                     )
             self.state.update(
-                (next_line, last_line, steps, total, best, best_step, patience, hit_seen, stop, late)
+                (next_line, last_line, steps, total, best, best_step, patience, hit_seen, stop, late, early)
             )
             yield pd.DataFrame(
                 {

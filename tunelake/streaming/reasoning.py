@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import BPE_NEWLINE, BPE_SPACE, THINK_CLOSE, THINK_OPEN
 
-STATE = "held string, inside boolean, next_seq bigint, part bigint"
+STATE = "held string, inside boolean, next_seq bigint, part bigint, early bigint"
 OUTPUT = "conv_id bigint, turn bigint, part bigint, text string"
 TAG = re.compile(f"{THINK_OPEN}|{THINK_CLOSE}")
 REPAIR = str.maketrans({BPE_NEWLINE: "\n", BPE_SPACE: " "})
@@ -41,8 +41,8 @@ class ReasoningFilter(StatefulProcessor):
         self.pending = handle.getMapState("pending", "seq bigint", "token string, last boolean")
 
     def handleInputRows(self, key, rows, timer_values):
-        held, inside, next_seq, part = self.state.get() if self.state.exists() else ("", False, 0, 0)
-        waiting = {k[0]: (v[0], v[1]) for k, v in self.pending.iterator()}
+        held, inside, next_seq, part, early = self.state.get() or ("", False, 0, 0, 0)
+        waiting = {k[0]: (v[0], v[1]) for k, v in self.pending.iterator()} if early else {}
         for chunk in rows:
             for row in chunk.itertuples(index=False):
                 if row.seq >= next_seq:
@@ -55,10 +55,11 @@ class ReasoningFilter(StatefulProcessor):
         text, held, inside = advance(held, inside, "".join(ready))
         if ended and not inside:
             text, held = text + held.translate(REPAIR), ""
-        self.pending.clear()
+        if early:
+            self.pending.clear()
         for seq, value in waiting.items():
             self.pending.updateValue((seq,), value)
-        self.state.update((held, inside, next_seq, part + bool(text)))
+        self.state.update((held, inside, next_seq, part + bool(text), len(waiting)))
         if text:
             yield pd.DataFrame(
                 {"conv_id": [key[0]], "turn": [key[1]], "part": [part], "text": [text]}
