@@ -78,7 +78,7 @@ def test_config_documents(spark, tmp_path):
     assert manifest == {"command": "train", "cli_args.model": "org/a: b", "random_seed": "42"}
     fixed = runs.fix_output_dir(configs.config_entries(docs)).filter("key = 'output_dir'")
     assert rows(fixed, "value") == [("saves/run_1/lora",)]
-    summary = configs.history_rows(configs.config_entries(configs.read_summaries(spark, str(tmp_path)))).first()
+    summary = configs.history_rows(configs.read_summaries(spark, str(tmp_path))).first()
     assert (summary["name"], summary["epochs"], summary["model"], summary["stage"]) == ("run_1", 3.0, "m", None)
 
 

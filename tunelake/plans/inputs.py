@@ -204,7 +204,7 @@ def with_inputs(body: str, *names: str) -> str:
 
 
 # tables whose rows are parsed or rewritten at some cost
-COSTLY = ["documents", "events", "conversations", "pages"]
+COSTLY = ["documents", "events", "conversations", "pages", "orders"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,13 +52,20 @@ def summary_scan(spark, sf):
             for c in HISTORY_FIELDS
         ]
     )
-    docs = rows.select(F.col("seq").cast("string").alias("run"), F.array_join(lines, "\n").alias("content"))
-    entries = configs.config_entries(docs)
-    wide = runs.wide_configs(entries, HISTORY_FIELDS)
-    return wide.select(
-        F.col("run").cast("bigint").alias("seq"),
-        *[F.col(c).cast("double") if c == "epochs" else F.col(c) for c in HISTORY_FIELDS],
-    )
+    docs = rows.select("seq", F.array_join(lines, "\n").alias("content"))
+    return configs.history_rows(docs)
+
+
+@named(
+    "wide_configs",
+    with_inputs(
+        """SELECT run, max(CASE WHEN key = 'template' THEN value END) AS template, max(CASE WHEN key = 'stage' THEN value END) AS stage,
+        max(CASE WHEN key = 'cutoff_len' THEN value END) AS cutoff_len FROM config_entries GROUP BY run""",
+        "config_entries",
+    ),
+)
+def wide_configs(spark, sf):
+    return runs.wide_configs(load(spark, sf, "config_entries"), ["template", "stage", "cutoff_len"])
 
 
 @named(

@@ -3,26 +3,37 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.constants import HISTORY_FIELDS
 from ..functions.naming import base_name, stem
 from .files import read_documents
 
 MANIFEST_LINE = r"^#   ([^:]+): (.*)$"
-CONFIG_LINE = r"^([A-Za-z_][^:#]*):(?:\s+(.*?))?\s*$"
+CONFIG_KEY = r"^([A-Za-z_][^:#]*):(?=\s|$)"
 
 
 def yaml_scalar(raw: Column) -> Column:
     """Text of a flat YAML scalar: quotes off, null words to NULL."""
-    single = F.replace(F.regexp_extract(raw, r"^'(.*)'$", 1), F.lit("''"), F.lit("'"))
-    double = F.regexp_extract(raw, r'^"(.*)"$', 1)
+    quoted = lambda q: (F.length(raw) >= 2) & raw.startswith(q) & raw.endswith(q)
+    inner = F.substr(raw, F.lit(2), F.length(raw) - 2)
     return (
-        F.when(raw.rlike(r"^'.*'$"), single)
-        .when(raw.rlike(r'^".*"$'), double)
-        .when(raw.isin("null", "Null", "NULL", "~", ""), F.lit(None))
+        F.when(raw.isin("null", "Null", "NULL", "~", ""), F.lit(None))
+        .when(quoted("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+        .when(quoted('"'), inner)
         .otherwise(raw)
     )
 
 
+def _entry(line: Column) -> Column:
+    """struct(key, value) of a `key: value` line; the key is empty for any other line."""
+
+    def split_at(key):
+        raw = F.trim(F.substr(line, F.length(key) + 2), F.lit(" \t"))
+        return F.struct(F.trim(key).alias("key"), bind(raw, yaml_scalar).alias("value"))
+
+    return bind(F.regexp_extract(line, CONFIG_KEY, 1), split_at)
+
+
 def _lines(documents: DataFrame) -> DataFrame:
     keep = [c for c in documents.columns if c != "content"]
     return documents.select(
@@ -33,15 +44,10 @@ def _lines(documents: DataFrame) -> DataFrame:
 def config_entries(documents: DataFrame) -> DataFrame:
     """(…, key, value) rows of flat `key: value` documents; the comment header is ignored."""
     keep = [c for c in documents.columns if c != "content"]
-    return (
-        _lines(documents)
-        .filter(F.col("line").rlike(CONFIG_LINE))
-        .select(
-            *keep,
-            F.trim(F.regexp_extract("line", CONFIG_LINE, 1)).alias("key"),
-            yaml_scalar(F.regexp_extract("line", CONFIG_LINE, 2)).alias("value"),
-        )
+    entries = F.filter(
+        F.transform(F.split("content", r"\r\n|\r|\n"), _entry), lambda e: e["key"] != ""
     )
+    return documents.select(*keep, F.inline_outer(entries)).filter(F.col("key").isNotNull())
 
 
 def manifest_entries(documents: DataFrame) -> DataFrame:
@@ -78,10 +84,26 @@ def read_summaries(spark: SparkSession, path, recursive: bool = False) -> DataFr
     return docs.select(name.alias("run"), "content")
 
 
-def history_rows(entries: DataFrame) -> DataFrame:
-    """Pivot summary entries (run, key, value) to the ten history fields."""
-    wide = entries.groupBy("run").pivot("key", HISTORY_FIELDS).agg(F.first("value", ignorenulls=True))
-    return wide.withColumn("epochs", F.col("epochs").try_cast("double")).select(*HISTORY_FIELDS)
+def document_fields(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """The given keys of each flat document as columns; the last line of a key counts.
+
+    A document is one row, so its fields need neither a row per line nor a shuffle.
+    """
+    keep = [c for c in documents.columns if c != "content"]
+    entries = F.transform(F.split("content", r"\r\n|\r|\n"), _entry)
+    read = documents.select(*keep, entries.alias("_e"))
+
+    def last(key):
+        found = F.filter("_e", lambda e: e["key"] == key)
+        return F.try_element_at(found, F.lit(-1))["value"].alias(key)
+
+    return read.select(*keep, *[last(k) for k in keys])
+
+
+def history_rows(summaries: DataFrame) -> DataFrame:
+    """The ten history fields of summary documents."""
+    rows = document_fields(summaries, HISTORY_FIELDS)
+    return rows.withColumn("epochs", F.col("epochs").try_cast("double"))
 
 
 def config_field(documents: DataFrame, field: str, default: str) -> DataFrame:
