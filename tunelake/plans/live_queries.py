@@ -23,7 +23,9 @@ def stream_table(spark, sf, name):
 def stream_input(spark, sf, name, base):
     """A derived input whose one table is read as a stream."""
     stream_table(spark, sf, base).createOrReplaceTempView(base)
-    return spark.sql(INPUTS[name])
+    rows = spark.sql(INPUTS[name])
+    table(spark, sf, base).createOrReplaceTempView(base)
+    return rows
 
 
 def drain(stream, spark, mode="append"):
