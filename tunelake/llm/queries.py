@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pieces, simhash, warc
+from . import exact_dedup, neighbours, packing, passages, pieces, simhash, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -34,11 +34,22 @@ def op1(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_named("op2_suffix_array_dedup")
+def op2(spark, sf_dir):
+    return passages.passage_digests(_read(spark, sf_dir, "documents"))
+
+
 @_named("op3_exact_dedup", exact_dedup.ORACLE)
 def op3(spark, sf_dir):
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+@_named("op4_nearest_neighbours")
+def op4(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @_named("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.piece_digests(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
