@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, neighbours, packing, passages, pieces, simhash, warc
+from . import exact_dedup, kneser, neighbours, packing, passages, pieces, simhash, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -50,6 +50,11 @@ def op4(spark, sf_dir):
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+@_named("op5_lm_scoring")
+def op5(spark, sf_dir):
+    return kneser.score_documents(_read(spark, sf_dir, "documents"))
+
+
 @_named("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.piece_digests(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
