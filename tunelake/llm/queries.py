@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kneser, neighbours, packing, passages, pieces, simhash, warc
+from . import exact_dedup, kneser, neighbours, packing, passages, pieces, simhash, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -55,6 +55,11 @@ def op5(spark, sf_dir):
     return kneser.score_documents(_read(spark, sf_dir, "documents"))
 
 
+@_named("op6_toxicity")
+def op6(spark, sf_dir):
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 @_named("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.piece_digests(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
