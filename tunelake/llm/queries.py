@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kneser, neighbours, packing, passages, pieces, simhash, toxicity, warc
+from . import exact_dedup, extraction, kneser, neighbours, packing, passages, pieces, simhash, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -73,3 +73,8 @@ def op8(spark, sf_dir):
 @_named("op9_warc", warc.ORACLE)
 def op9(spark, sf_dir):
     return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+@_named("op10_html_extraction")
+def op10(spark, sf_dir):
+    return extraction.extract(_read(spark, sf_dir, "pages"))
