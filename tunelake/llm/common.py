@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one step inside a Python worker handles at once (a longer text comes alone).
@@ -47,7 +47,26 @@ def keyed(docs: DataFrame, *extra: Column) -> DataFrame:
     """
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *extra
-    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    ).withColumn("row_key", row_key())
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), whole_text())
+
+
+def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id and row_key are in `kept`, each once, with all columns.
+
+    The join is by row_key alone, and ids are compared beside it, so that the count of equal
+    rows needs no further shuffle of the texts.
+    """
+    rows = docs.withColumn("_row_key", row_key())
+    wanted = kept.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).distinct()
+    same = rows["_row_key"] == wanted["_row_key"]
+    ids = (rows["doc_id"] == wanted["_doc_id"]) | (rows["doc_id"].isNull() & wanted["_doc_id"].isNull())
+    found = rows.join(wanted, same & ids, "left_semi")
+    copies = Window.partitionBy("_row_key", "doc_id").orderBy(F.lit(0))
+    return found.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(docs.columns)
 
 
 def same_row(left: DataFrame, right: DataFrame) -> Column:

@@ -16,7 +16,7 @@ Spark can split, because the index has one row per key.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import row_key, stored, whole_text
 
 #: Bits of the finest directory; entries of a bucket that is still overfull are chained.
 MAX_DEPTH = 16
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_d
 
 
 def exact_groups(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs` (doc_id, text).
+    """doc_id, keep_id, group_size, kept, text_sha256, row_key for every row of `docs` (doc_id, text).
 
     Null texts count as empty; all empty texts are one group. A null doc_id never wins against
     another id; in a group of null ids only, keep_id is null and the rows are kept. Rows with
@@ -97,6 +97,7 @@ def exact_groups(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_
         F.col("doc_id").cast("long").alias("doc_id"),
         hashing(text).alias("h"),
         F.sha2(text, 256).alias("text_sha256"),
+        row_key().alias("row_key"),
     )
     found = rows.join(index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
     return found.select(
@@ -105,6 +106,7 @@ def exact_groups(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
+        "row_key",
     )
 
 

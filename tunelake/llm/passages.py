@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import by_bytes, keyed, same_row, stored
 
@@ -331,50 +332,67 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, first: bool = False,
     return whole.union(near).union(places)
 
 
-def remove_passages(docs: DataFrame, length: int = LENGTH, first: bool = False, contents: int = CONTENTS) -> DataFrame:
-    """doc_id, row_key, n_bytes, n_removed, n_spans, kept (binary) for every row of `docs`.
+def remove_passages(
+    docs: DataFrame, length: int = LENGTH, first: bool = False, contents: int = CONTENTS,
+    as_text: bool = False, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept and the columns `carry` for every row of `docs`.
 
     Removed are the bytes in strings of `length` bytes that start more than once in the
     documents' UTF-8 bytes, as they came in; with `first`, only those that start earlier too,
     in the order of doc_id, row and offset (a null doc_id comes before others), so the first
     copy stays. Repeated rows are copies of each other; with `first` equal rows of one doc_id
     cannot be told apart and are both the first. Texts that are null or shorter than `length`
-    lose nothing. Other columns are ignored. `kept` may end or begin inside a character.
+    lose nothing. Other columns are ignored. `kept` is binary and may end or begin inside a
+    character; with `as_text` it is a string without such halves.
     """
-    rows = keyed(docs)
-    places = repeated_windows(rows, length, first, contents)
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    rows = keyed(docs, *carried)
+    places = repeated_windows(rows.select("doc_id", "text", "row_key"), length, first, contents)
     found = (
         places.select("doc_id", "row_key", F.struct("a", "b").alias("place"))
         .groupBy("doc_id", "row_key")
         .agg(F.collect_list("place").alias("places"))
     )
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-         ("n_spans", pa.int64()), ("kept", pa.binary())]
+    kinds = [(f"carried_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+    schema = StructType.fromDDL(
+        f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     )
+    for name, kind in kinds:
+        schema = schema.add(name, kind)
 
     def run(batches):
         for batch in by_bytes(batches, "text"):
-            out = []
-            for doc_id, key, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, pieces, end, removed, spans = text.encode(), [], 0, 0, 0
-                for spot in sorted(spots or [], key=lambda s: s["a"]):
-                    a, b = spot["a"], spot["b"] + length - 1
-                    if a > end or not spans:
-                        pieces.append(data[end:a])
-                        spans, end = spans + 1, a
-                    if b > end:
-                        removed += b - end
-                        end = b
-                pieces.append(data[end:])
-                out.append((doc_id, key, len(data), removed, spans, b"".join(pieces)))
-            columns = zip(*out, strict=True)
+            out = [
+                _without(text.encode(), spots or [], length)
+                for text, spots in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)
+            ]
+            *figures, kept = zip(*out, strict=True)
+            kept = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+                [batch.column("doc_id"), *(pa.array(f, pa.int64()) for f in figures), kept,
+                 *(batch.column(n) for n, _ in kinds)],
+                names=schema.names,
             )
 
-    joined = rows.join(found, same_row(rows, found), "left").select(rows.doc_id, rows.row_key, rows.text, found.places)
-    return joined.mapInArrow(run, "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = rows.join(found, same_row(rows, found), "left").select(rows["*"], found.places)
+    cut = joined.mapInArrow(run, schema)
+    return cut.select(*schema.names[:5], *[F.col(n).alias(c) for (n, _), c in zip(kinds, carry, strict=True)])
+
+
+def _without(data: bytes, places: list[dict], length: int):
+    """Length, bytes removed, runs removed, and the rest, without the windows that start in the places."""
+    pieces, end, removed, spans = [], 0, 0, 0
+    for place in sorted(places, key=lambda s: s["a"]):
+        a, b = place["a"], place["b"] + length - 1
+        if a > end or not spans:
+            pieces.append(data[end:a])
+            spans, end = spans + 1, a
+        if b > end:
+            removed += b - end
+            end = b
+    pieces.append(data[end:])
+    return len(data), removed, spans, b"".join(pieces)
 
 
 def passage_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

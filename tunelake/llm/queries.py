@@ -41,7 +41,7 @@ def op2(spark, sf_dir):
 
 @_named("op3_exact_dedup", exact_dedup.ORACLE)
 def op3(spark, sf_dir):
-    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
 @_named("op4_nearest_neighbours")

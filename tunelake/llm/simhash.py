@@ -6,8 +6,14 @@ blocks). Within a key, distances are verified and only the edges of a spanning s
 connected set are given out, never all pairs. A key with more than `group` distinct
 fingerprints is divided again: its remaining bits are cut into five blocks, of which a close
 pair shares one. As fingerprints are distinct, this ends, and no group outgrows one task.
+
+Texts that agree in four fifths of their shingles differ in about a seventh of the bits, too
+many for blocks that must agree for sure. `similar_groups` finds them with 512 bits in 32
+blocks of 16: such a pair agrees in some block in nine of ten cases at that similarity, and
+nearly always above it; the distance of all bits is verified.
 """
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, whole_text
+from .common import by_bytes, keyed, stored
 from .graph import components
 
 BITS = 64
@@ -27,19 +33,23 @@ SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints compared with each other at once.
 GROUP = 1024
+#: Bits of the wide fingerprint, and bytes of its blocks.
+WIDE = 512
+BLOCK_BYTES = 2
+_MIXERS, _STEP = 0x9E3779B97F4A7C15, 0x632BE59BD9B4E019
 #: Shingle hashes whose bits are counted at once.
 _COUNTED = 1 << 16
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """The SimHash of a text over its word shingles, each occurrence counted, as an unsigned integer.
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, in order, with repeats.
 
     A-Z is lower-cased; a text with fewer words than a shingle has one, the whole sequence; a
-    text without words has fingerprint zero.
+    text without words has none.
     """
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -47,27 +57,49 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     n = len(tokens) - size + 1
     spans = zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, 64 to a hash; zero without hashes."""
     counts = np.zeros(BITS, np.int64)
-    for k in range(0, n, _COUNTED):
+    for k in range(0, len(hashes), _COUNTED):
         part = hashes[k : k + _COUNTED].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """The SimHash of a text over its word shingles, each occurrence counted, as an unsigned integer.
+
+    A text without words has fingerprint zero.
+    """
+    return int.from_bytes(majority(shingle_hashes(text, words)), "little")
+
+
+def wide_fingerprint(text: str, words: int) -> bytes:
+    """WIDE bits: each shingle hash is mixed again for every 64 of them."""
+    hashes = shingle_hashes(text, words)
+    out = []
+    for i in range(WIDE // BITS):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((_MIXERS + 2 * i * _STEP) % (1 << BITS))
+        out.append(majority((mixed ^ (mixed >> np.uint64(29))) * np.uint64(_MIXERS)))
+    return b"".join(out)
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row; null texts count as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, row_key and fp (signed 64-bit) of every row; null texts count as empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in by_bytes(batches, "text"):
             prints = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=schema
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                schema=schema,
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _masks(free: list[int], parts: int, picked: int) -> list[int]:
@@ -80,6 +112,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def connected(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it is connected with."""
+    label = np.arange(len(near))
+    while True:
+        least = np.where(near, label[None, :], len(near)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _stars(distance: int):
     """For each row with an array `fps`: links of every fingerprint to the first of its connected set."""
 
@@ -90,12 +132,7 @@ def _stars(distance: int):
                 fps = np.asarray(values, np.int64)
                 unsigned = fps.view(np.uint64)
                 near = np.bitwise_count(unsigned[:, None] ^ unsigned[None, :]) <= distance
-                label = np.arange(len(fps))
-                while True:
-                    least = np.where(near, label[None, :], len(fps)).min(axis=1)
-                    if (least == label).all():
-                        break
-                    label = least
+                label = connected(near)
                 other = label != np.arange(len(fps))
                 sources.append(fps[other])
                 targets.append(fps[label[other]])
@@ -146,7 +183,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, g
 def near_groups(
     docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, group: int = GROUP
 ) -> DataFrame:
-    """doc_id, fp (signed), component_id for every row of `docs` (doc_id, text).
+    """doc_id, fp (signed), component_id, row_key for every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id among the rows whose fingerprints are connected by
     steps of at most `distance` bits. Null texts count as empty, and all empty texts have
@@ -156,11 +193,96 @@ def near_groups(
     """
     prints = stored(fingerprints(docs, words), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), distance, blocks, group))
+    return _named(prints, distinct, links(distinct.select("fp"), distance, blocks, group))
+
+
+def _named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
     rooted = distinct.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("b", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
+        "doc_id", "fp", "component_id", "row_key"
     )
+
+
+def wide_distance(similarity: float) -> int:
+    """Bits in which texts of a Jaccard similarity differ, and three hundredths more."""
+    angle = math.acos(2 * similarity / (1 + similarity))
+    return int(WIDE * (angle / math.pi + 0.03))
+
+
+def _wide_stars(distance: int):
+    """As _stars, for arrays of wide fingerprints; groups of one size are compared together."""
+
+    def run(frames):
+        for frame in frames:
+            sources, targets = [], []
+            sizes = frame["fps"].str.len()
+            for size, groups in frame["fps"].groupby(sizes):
+                step = max(1, (1 << 20) // size**2)
+                for i in range(0, len(groups), step):
+                    part = groups.iloc[i : i + step].tolist()
+                    fps = np.frombuffer(b"".join([f for g in part for f in g]), np.uint64).reshape(len(part), size, -1)
+                    apart = np.zeros((len(part), size, size), np.int32)
+                    for w in range(fps.shape[2]):
+                        apart += np.bitwise_count(fps[:, :, None, w] ^ fps[:, None, :, w])
+                    near = apart <= distance
+                    for j in np.flatnonzero(near.sum(axis=(1, 2)) > size).tolist():
+                        label = connected(near[j])
+                        for k in np.flatnonzero(label != np.arange(size)).tolist():
+                            sources.append(part[j][k])
+                            targets.append(part[j][label[k]])
+            if sources:
+                yield pd.DataFrame({"a": sources, "b": targets})
+
+    return run
+
+
+def wide_links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between fingerprints that agree in a block and differ in at most `distance` bits.
+
+    A block value that more than `group` fingerprints share is split by each further block.
+    """
+    blocks = WIDE // 8 // BLOCK_BYTES
+    values = F.array(*[F.substring("fp", 1 + BLOCK_BYTES * i, BLOCK_BYTES) for i in range(blocks)])
+    rows = distinct.select("fp", F.posexplode(values).alias("block", "value"))
+    rows = rows.select("fp", F.array("block").alias("blocks"), F.array("value").alias("key"))
+    found = None
+    for level in range(1, blocks + 1):
+        sizes = stored(
+            rows.groupBy("blocks", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys"
+        )
+        last = level == blocks
+        gathered = (
+            rows.join(sizes.filter(F.lit(last) | (F.col("n") <= group)).drop("n"), ["blocks", "key"])
+            .groupBy("blocks", "key").agg(F.collect_list("fp").alias("fps"))
+        )
+        edges = gathered.select("fps").mapInPandas(_wide_stars(distance), "a binary, b binary")
+        found = edges if found is None else found.union(edges)
+        crowded = sizes.filter(F.col("n") > group).drop("n")
+        if last or crowded.isEmpty():
+            return found
+        finer = rows.join(crowded, ["blocks", "key"]).select("fp", "blocks", "key", F.posexplode(values).alias("block", "value"))
+        rows = (
+            finer.filter(~F.array_contains("blocks", F.col("block")))
+            .select("fp", F.concat("blocks", F.array("block")).alias("blocks"), F.concat("key", F.array("value")).alias("key"))
+            .distinct()
+        )
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+    """As near_groups, for texts whose shingle sets have about that Jaccard similarity or more; fp is binary."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches):
+        for batch in by_bytes(batches, "text"):
+            prints = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(prints, pa.binary())], schema=schema
+            )
+
+    prints = stored(keyed(docs).mapInArrow(run, "doc_id long, row_key long, fp binary"), "simhash-wide")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    return _named(prints, distinct, wide_links(distinct.select("fp"), wide_distance(similarity), group))

@@ -321,6 +321,19 @@ def score(docs: DataFrame, detector: Detector) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, detector: Detector) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below one half."""
+    model = docs.sparkSession.sparkContext.broadcast(detector)
+
+    def run(batches):
+        table = ChunkTable(model.value.offences, TABLE_WORDS)
+        for batch in by_bytes(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(model.value.scores(texts, table) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learn and score: doc_id, held_out, score, predicted of every row of `docs`.
 
