@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, shared_folder, stored, whole_text
 
 #: Tokens whose pairs a task counts before it sends them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 START = xxhash.xxh3_64_intdigest(b"\n\n")
 _FIELDS = ["raw", "continuations", "total", "once", "twice", "more"]
@@ -171,6 +171,17 @@ def _each_shard(batches):
         yield shard, held
 
 
+def _gains(left, right, n):
+    """Words of some pairs, in order, with what each gains as a right and as a left word."""
+    ends, _, as_right = _sums(right, [n, np.ones(len(n), np.int64)])
+    starts, _, as_left = _sums(left, [n, *(c.astype(np.int64) for c in (n == 1, n == 2, n > 2))])
+    words = np.union1d(ends, starts)
+    sums = np.zeros((6, len(words)), np.int64)
+    sums[:2, np.searchsorted(words, ends)] = as_right
+    sums[2:, np.searchsorted(words, starts)] = as_left
+    return words, sums
+
+
 def _write_pairs(folder: str, bits: int):
     """Pair arrays of the shards; sends on the gains of words, and (shard -1) manifest lines."""
 
@@ -188,15 +199,11 @@ def _write_pairs(folder: str, bits: int):
             big = np.flatnonzero(n >= 255)
             path = _save(folder, f"pairs-{shard:06d}", key=keys, n=np.minimum(n, 255).astype(np.uint8),
                          at=big, big=n[big])
-            none = np.zeros(len(n), np.int64)
-            words, _, sums = _sums(
-                np.concatenate([right, left]),
-                [np.concatenate(c) for c in (
-                    (n, none), (none + 1, none), (none, n), (none, n == 1), (none, n == 2), (none, n > 2))],
-            )
+            seen = np.array([(n == i).sum() for i in (1, 2, 3, 4)], np.int64)
+            del keys
+            words, sums = _gains(left, right, n)
             gains = _by_shard(words, bits)
             yield _packed([s for s, _ in gains], [_pack(words[rows], *(c[rows] for c in sums)) for _, rows in gains])
-            seen = np.array([(n == i).sum() for i in (1, 2, 3, 4)], np.int64)
             yield _packed([-1], [f"pairs {shard} {path} {' '.join(map(str, seen.tolist()))}".encode()])
 
     return run
@@ -238,11 +245,11 @@ def fit(docs: DataFrame, bits: int | None = None) -> dict:
     """Count the texts of `docs`; gives the model's files, sums and discounts.
 
     `bits`: the files are split by so many leading bits. By default there is about one shard
-    for every four shuffle partitions, and eight at least.
+    for every two shuffle partitions, and eight at least.
     """
     spark = docs.sparkSession
     if bits is None:
-        bits = max(3, int(np.ceil(np.log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) / 4)))))
+        bits = max(3, int(np.ceil(np.log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) / 2)))))
     folder, shards = _local(shared_folder(spark, "kneser-ney")), 1 << bits
     texts = docs.select(whole_text().alias("text"))
     pairs = texts.mapInArrow(_count_pairs(bits), _PACKED).repartition(shards, "shard").sortWithinPartitions("shard")
