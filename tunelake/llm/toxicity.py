@@ -19,7 +19,6 @@ the sums over a text's worst words; a text's score is that logistic function.
 import heapq
 import re
 import zlib
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ from .kneser import held_out
 DECAY = 0.7
 SPAN = 6
 #: Labelled rows that learning reads at most; of equal hashes all or none.
-SAMPLE = 8000
+SAMPLE = 5000
 LANDMARKS = 400
 ROUNDS = 4
 #: Weight of the loss against the machine's norm; the words' weights sum to one.
@@ -117,8 +116,8 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     row = np.minimum(np.searchsorted(used, code), max(len(used) - 1, 0))
     hit = np.flatnonzero(used[row] == code) if len(used) else np.empty(0, np.int64)
     out = np.zeros((len(words), len(others)))
-    for i in range(0, len(hit), 1 << 15):
-        h = hit[i : i + (1 << 15)]  # in the order of their words
+    for i in range(0, len(hit), 1 << 12):
+        h = hit[i : i + (1 << 12)]  # in the order of their words
         first = np.flatnonzero(np.concatenate([[True], np.diff(number[h]) > 0]))
         out[number[h[first]]] += np.add.reduceat(weight[h, None] * dense[row[h]], first, axis=0)
     return out
@@ -181,62 +180,57 @@ class Detector:
     def __init__(self, texts: list[str], labels: list[int], landmarks: int = LANDMARKS):
         self.weights = self.evidence = np.zeros(1 << 18)
         self.bias, self.base, self.marks, self.root = -1.0, -10.0, [], None
-        y = np.array(labels, np.int64)
-        bags = [list(dict.fromkeys(words_of(t.lower()))) for t in texts]
         own = _distinct(texts)
-        bags, y = [bags[i] for i in own], y[own]
+        y = np.array([labels[i] for i in own], np.int64)
         if not len(y) or y.min() == y.max():
             self.base = 10.0 if len(y) and y.max() == 1 else -10.0
             return
-        self._fit(bags, y, landmarks)
+        numbers: dict[str, int] = {}
+        bags = [
+            np.array(sorted({numbers.setdefault(w, len(numbers)) for w in words_of(texts[i].lower())}), np.int64)
+            for i in own
+        ]
+        self._fit(list(numbers), bags, y, landmarks)
 
-    def _fit(self, bags, y, landmarks):
-        counts = [Counter(chain.from_iterable(b for b, label in zip(bags, y, strict=True) if label == k)) for k in (0, 1)]
+    def _fit(self, words, bags, y, landmarks):
+        """`bags`: of each text the numbers of its words."""
+        count = [np.bincount(np.concatenate([b for b, k in zip(bags, y, strict=True) if k == kind]), minlength=len(words)) for kind in (0, 1)]
         n0, n1 = (y == 0).sum(), (y == 1).sum()
-        odds = {
-            w: np.log((c + 0.5) / (n1 + 1)) - np.log((counts[0][w] + 0.5) / (n0 + 1))
-            for w, c in counts[1].items() if c >= max(3, n1 * SUPPORT)
-        }
+        odds = np.log((count[1] + 0.5) / (n1 + 1)) - np.log((count[0] + 0.5) / (n0 + 1))
         # a word's evidence: how far its share in positive texts exceeds what chance would give
-        good = {w: counts[1][w] for w, o in odds.items() if o > 2 and o * np.sqrt(counts[1][w]) > PROOF}
-        vocabulary = list(dict.fromkeys(chain.from_iterable(bags)))
-        place = {w: i for i, w in enumerate(vocabulary)}
+        proof = np.where((odds > 2) & (count[1] >= max(3, n1 * SUPPORT)), odds * np.sqrt(count[1]), 0)
+        good = np.flatnonzero(proof > PROOF)
+        clean = np.flatnonzero(count[0])
         rng = np.random.default_rng(0)
-        clean = np.array([w in counts[0] for w in vocabulary])
-        bad = dict.fromkeys([w for w, _ in counts[0].most_common(HARD // 4)])
-        bad |= dict.fromkeys(vocabulary[i] for i in rng.permutation(np.flatnonzero(clean))[:HARD].tolist())
-        worst = []
+        common = clean[np.argsort(-count[0][clean], kind="stable")][: HARD // 4]
+        bad = dict.fromkeys([*common.tolist(), *rng.permutation(clean)[:HARD].tolist()])
+        worst: list[int] = []
         for _ in range(ROUNDS):
-            if not good:
-                break
-            bad = {w: None for w in bad if w not in good}
-            words = [*good, *bad]
-            labels = np.array([1] * len(good) + [-1] * len(bad))
-            size = np.sqrt(np.array([*good.values(), *(1 + counts[0][w] for w in bad)], float))
+            if not len(good):
+                return
+            bad = {w: None for w in bad if w not in set(good.tolist())}
+            shown = np.array([*good.tolist(), *bad])
+            size = np.sqrt(np.concatenate([count[1][good], 1 + count[0][list(bad)]]).astype(float))
             size[: len(good)] *= 0.5 / size[: len(good)].sum()
             size[len(good) :] *= 0.5 / size[len(good) :].sum()
-            marks = [w for w, _ in Counter(good).most_common(landmarks // 2)]
-            rest = landmarks - len(marks)
-            near = [w for w in worst if w in bad][: rest * 2 // 3]
-            marks += near + [w for w in rng.permutation(list(bad)).tolist() if w not in near][: rest - len(near)]
-            self._learn(words, labels, size, marks)
-            margin = self.margins(vocabulary)
-            good = {}
-            for bag, k in zip(bags, y, strict=True):
-                for w in bag if k else ():  # on the offending side, and not shared by clean texts
-                    if margin[place[w]] > 0 and odds.get(w, 0) > 2 and odds[w] * np.sqrt(counts[1][w]) > 0.7 * PROOF:
-                        good[w] = counts[1][w]
-            hardest = np.argsort(np.where(clean, -margin, np.inf))[:HARD]
-            worst = [vocabulary[i] for i in hardest.tolist() if clean[i]]
+            marks = good[np.argsort(-count[1][good], kind="stable")][: landmarks // 2].tolist()
+            near = [w for w in worst if w in bad][: (landmarks - len(marks)) * 2 // 3]
+            taken = set(near)
+            marks += near + [w for w in rng.permutation(list(bad)).tolist() if w not in taken][: landmarks - len(marks) - len(near)]
+            kinds = np.where(np.arange(len(shown)) < len(good), 1, -1)
+            self._learn([words[i] for i in shown], kinds, size, [words[i] for i in marks])
+            margin = self.margins(words)
+            # witnesses: words on the offending side that clean texts do not share
+            good = np.flatnonzero((margin > 0) & (proof > 0.7 * PROOF))
+            worst = clean[np.argsort(-margin[clean], kind="stable")][:HARD].tolist()
             bad |= dict.fromkeys(worst)
-        margin = self.margins(vocabulary)
-        hits = [sorted((w for w in bag if margin[place[w]] > 0), key=lambda w: -margin[place[w]])[:WORST] for bag in bags]
-        distinct = list(dict.fromkeys(chain.from_iterable(hits)))
-        if not distinct:
+        hits = [b[margin[b] > 0] for b in bags]
+        hits = [h[np.argsort(-margin[h], kind="stable")][:WORST] for h in hits]
+        distinct = np.unique(np.concatenate(hits))
+        if not len(distinct):
             return
-        row = {w: i for i, w in enumerate(distinct)}
-        seen = kernel(distinct, self.marks) @ self.root
-        sums = np.array([seen[[row[w] for w in h]].sum(axis=0) for h in hits])
+        seen = kernel([words[i] for i in distinct], self.marks) @ self.root
+        sums = np.array([seen[np.searchsorted(distinct, h)].sum(axis=0) for h in hits])
         fitted = _logistic(sums, y)
         number, code, weight = _unit(self.marks)
         self.evidence = np.bincount(code, weights=weight * (self.root @ fitted[:-1])[number], minlength=1 << 18)
@@ -254,12 +248,12 @@ class Detector:
     def _values(self, words: list[str], *weights: np.ndarray):
         """Kernel expansions over the landmarks, given by subsequence weights, of each word."""
         out = np.zeros((len(weights), len(words)))
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
             number, code, weight = embed(part)
             norm = np.maximum(np.sqrt(np.bincount(number, weights=weight**2, minlength=len(part))), 1e-12)
             for row, w in zip(out, weights, strict=True):
-                row[i : i + 50_000] = np.bincount(number, weights=weight * w[code], minlength=len(part)) / norm
+                row[i : i + 10_000] = np.bincount(number, weights=weight * w[code], minlength=len(part)) / norm
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
