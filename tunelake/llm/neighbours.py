@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors that the index is fitted on, about.
-SAMPLE = 50_000
+SAMPLE = 16_000
 #: Vectors of a list, on average, while the sample has eight vectors for each centroid.
 LIST = 2000
 BLOCK = 2048
@@ -141,7 +141,7 @@ class Index:
         return chosen
 
     def _fit_ratio(self, sample, points, k, target):
-        queries = sample[:400]
+        queries = sample[:200]
         scores = queries @ sample.T
         scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
         top = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
@@ -188,8 +188,8 @@ def nearest(
     if not total:
         return spark.createDataFrame([], result)
     share = int((1 << 31) * min(1.0, sample / total))
-    picked = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < share).select("vector").collect()
-    points = np.array([r.vector for r in picked or base.limit(1).select("vector").collect()], np.float64)
+    picked = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < share).select("vector").toArrow()
+    points = _matrix((picked if len(picked) else base.limit(1).select("vector").toArrow()).column("vector").combine_chunks())
     lists = int(np.clip(round(total / list_size), 1, max(1, len(points) // 8)))
     index = Index(points, float(np.sqrt(longest)), lists, k, target)
 
