@@ -7,6 +7,7 @@ to a sink that computes every row and keeps none.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,6 +36,9 @@ HEADLINE = [
     "best_checkpoint",
     "latest_metrics",
     "log_tail",
+    "log_scan",
+    "json_fallback",
+    "live_monitor",
     "visible_turns",
     "visible_answers",
     "transcripts",
@@ -60,6 +64,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tunelake-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

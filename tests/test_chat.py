@@ -109,7 +109,7 @@ def test_sessions(spark, block):
     data = [(1, i, t) for i, t in enumerate(script)] + [(2, 0, "/exit"), (2, 1, "x"), (3, 5, "only")]
     df = spark.createDataFrame(data, "user_id bigint, seq bigint, text string").withColumn("block", ordered.block_of("seq", block))
     got = rows(chat.sessions(df), "user_id", "session", "seq", "text")
-    assert got == sorted([(1, 0, 0, "hi"), (1, 0, 2, "a"), (1, 1, 4, "b"), (1, 2, 7, "c"), (3, 0, 5, "only")])
+    assert got == sorted([(1, 0, 0, "hi"), (1, 0, 2, "a"), (1, 1, 4, "b"), (1, 2, 7, "c"), (1, 3, 9, "after"), (1, 4, 11, "more"), (2, 1, 1, "x"), (3, 0, 5, "only")])
 
 
 @pytest.mark.parametrize("block", [2, 1000])

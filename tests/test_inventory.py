@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -173,3 +174,15 @@ def test_names(spark):
     names = [("a.tar.gz", "a.tar"), (".hidden", ".hidden"), ("noext", "noext"), ("b.json", "b")]
     df = spark.createDataFrame(names, "name string, want string")
     assert rows(df.withColumn("got", naming.stem(F.col("name"))).filter("got <> want")) == []
+
+
+@pytest.mark.parametrize(
+    "config, want",
+    [('{"extra":{"tokenizer_class":"Inner"},"tokenizer_class":"LlamaTokenizerFast"}', {"extra": {"tokenizer_class": "Inner"}, "tokenizer_class": "Qwen2TokenizerFast"}),
+     ('{"extra":{"tokenizer_class":"Inner"}, "n": 1.5}', {"extra": {"tokenizer_class": "Inner"}, "n": 1.5, "tokenizer_class": "Qwen2TokenizerFast"}),
+     ("{}", {"tokenizer_class": "Qwen2TokenizerFast"}), ('{"tokenizer_class": null}', {"tokenizer_class": "Qwen2TokenizerFast"})],
+)
+def test_audit_sets_the_outer_class_only(spark, config, want):
+    files = [("models--a--b", "s1", "config.json", '{"model_type": "qwen2"}'), ("models--a--b", "s1", "tokenizer_config.json", config)]
+    got = inventory.tokenizer_audit(spark.createDataFrame(files, "entry string, snapshot string, file_name string, content string")).collect()
+    assert [json.loads(r["corrected"]) for r in got] == [want]

@@ -15,7 +15,17 @@ from .constants import (
 
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
 JSON_ONLY_WORD = r":\s*(null|true|false)\s*[,}]"
-NOT_PLAIN = r"None|True|False|null|true|false|,\s*\}"
+NOT_PLAIN = r"None|True|False|null|true|false|,\s*\}|:\s*[+(]|:\s*-?\.\d|\d\.\s*[,}eE]|\d_\d"
+# number forms of a Python literal that JSON lacks: sign, underscores, a dot in front or at the end; and tuples
+NUMBER_FORMS = [
+    (r":\s*\+(?=[\d.])", ": "),
+    (r"(?<=\d)_(?=\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?\s*[,}])", ""),
+    (r"(?<=\d)_(?=\d[\d_]*\s*[,}])", ""),
+    (r":\s*\.(?=\d)", ": 0."),
+    (r":\s*-\.(?=\d)", ": -0."),
+    (r"(:\s*-?\d+)\.(?=\s*[,}eE])", "$1.0"),
+    (r":\s*\([^()'\"]*\)(?=\s*[,}])", ": null"),
+]
 
 
 def is_metrics(line: Column) -> Column:
@@ -28,6 +38,8 @@ def _as_json(group: Column) -> Column:
     out = F.when(~group.rlike(JSON_ONLY_WORD), group)
     for word, value in (("None", "null"), ("True", "1"), ("False", "0")):
         out = F.regexp_replace(out, rf":\s*{word}(?=\s*[,}}])", f": {value}")
+    for form, value in NUMBER_FORMS:
+        out = F.regexp_replace(out, form, value)
     out = F.regexp_replace(out, r",\s*\}$", "}")
     return F.when(group.rlike(NOT_PLAIN), out).otherwise(group)
 

@@ -110,9 +110,10 @@ def transcripts(turns: DataFrame, keys=("conv_id",), part_turns: int = PART_TURN
 
 
 def sessions(commands: DataFrame) -> DataFrame:
-    """Messages with their session: the number of clear commands before them.
+    """Messages with their session: the number of clear and quit commands before them.
 
-    Blank input and commands are no messages; nothing counts after a quit command.
+    Blank input and commands are no messages. A quit ends the chat, so the next message opens
+    a new session, as after a clear command.
     """
     word = strip_space(F.col("text"))
     slim = commands.withColumn("text", word).filter(F.col("text") != "")
@@ -122,13 +123,12 @@ def sessions(commands: DataFrame) -> DataFrame:
         ["seq"],
         "block",
         sums={
-            "session": (F.col("text") == CLEAR_COMMAND).cast("bigint"),
-            "_quits": F.col("text").isin(QUIT_COMMANDS).cast("bigint"),
+            "session": F.col("text").isin(CLEAR_COMMAND, *QUIT_COMMANDS).cast("bigint"),
         },
     )
-    return out.filter(
-        (F.col("_quits") == 0) & (F.col("text") != CLEAR_COMMAND)
-    ).select("user_id", "session", "block", "seq", "text")
+    return out.filter(~F.col("text").isin(CLEAR_COMMAND, *QUIT_COMMANDS)).select(
+        "user_id", "session", "block", "seq", "text"
+    )
 
 
 def prompt_contexts(turns: DataFrame, keys=("conv_id",)) -> DataFrame:

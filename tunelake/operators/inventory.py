@@ -181,13 +181,13 @@ def tokenizer_audit(configs: DataFrame) -> DataFrame:
     expected = F.try_element_at(
         naming.literal_map(TOKENIZER_BY_TYPE), F.get_json_object("c.model", "$.model_type")
     )
-    field = r'"tokenizer_class"\s*:\s*("(?:[^"\\]|\\.)*"|null)'
-    entry = F.concat(F.lit('"tokenizer_class": "'), F.col("expected"), F.lit('"'))
-    empty = F.col("c.tokenizer").rlike(r"^\s*\{\s*\}\s*$")
-    corrected = (
-        F.when(F.col("c.tokenizer").rlike(field), F.regexp_replace(F.col("c.tokenizer"), F.lit(field), entry))
-        .when(empty, F.concat(F.lit("{"), entry, F.lit("}")))
-        .otherwise(F.regexp_replace(F.col("c.tokenizer"), F.lit(r"^\s*\{"), F.concat(F.lit("{"), entry, F.lit(", "))))
+    # only the key of the outer object is set; nested ones keep their values
+    fields = F.from_json("c.tokenizer", "map<string,variant>")
+    value = F.try_variant_get(F.parse_json(F.to_json(F.array("expected"))), "$[0]", "variant")
+    corrected = F.to_json(
+        F.map_concat(
+            F.map_filter(fields, lambda k, _: k != "tokenizer_class"), F.create_map(F.lit("tokenizer_class"), value)
+        )
     )
     return (
         newest.withColumn("found", found)

@@ -215,18 +215,10 @@ def best_checkpoints(best: DataFrame, saved: DataFrame) -> DataFrame:
     )
 
 
-GROUP_LIMIT = 1000  # Spark trims ranked groups before the shuffle up to this rank
-
-
 def tail(lines: DataFrame, n: int = 50) -> DataFrame:
     """The last n lines of each run, in order.
 
-    For a small n every task keeps only its own last n per run before the shuffle; for a
-    large one whole blocks are left out by their counts.
+    Blocks before the last n lines are left out by their counts, so no task holds a whole run.
     """
-    if n < GROUP_LIMIT:
-        newest = Window.partitionBy("run").orderBy(*[F.col(c).desc() for c in PLACE])
-        last = lines.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
-    else:
-        last = ordered.first_n(lines, ["run"], ["line_no"], "block", n, last=True)
+    last = ordered.first_n(lines, ["run"], ["line_no"], "block", n, last=True)
     return last.orderBy("run", *PLACE)

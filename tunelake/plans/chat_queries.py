@@ -91,14 +91,14 @@ def transcripts(spark, sf):
 
 
 SESSIONS = """typed AS (SELECT user_id, seq, trim(text) AS text FROM commands),
-  marked AS (SELECT *, CAST(sum(CAST(text = '/clear' AS INT)) OVER w AS BIGINT) AS session, sum(CAST(text IN ('/quit', '/exit') AS INT)) OVER w AS quits
+  marked AS (SELECT *, CAST(sum(CAST(text IN ('/clear', '/quit', '/exit') AS INT)) OVER w AS BIGINT) AS session
     FROM typed WHERE text <> '' WINDOW w AS (PARTITION BY user_id ORDER BY seq))"""
 
 
 @named(
     "chat_sessions",
     with_inputs("", "commands").rstrip()
-    + f", {SESSIONS} SELECT user_id, session, seq, text FROM marked WHERE quits = 0 AND text <> '/clear'",
+    + f", {SESSIONS} SELECT user_id, session, seq, text FROM marked WHERE text NOT IN ('/clear', '/quit', '/exit')",
 )
 def chat_sessions(spark, sf):
     rows = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq"))
@@ -107,8 +107,13 @@ def chat_sessions(spark, sf):
 
 @named(
     "prompt_contexts",
-    """SELECT conv_id, turn, role, min(turn) OVER w AS context_first_turn, count(*) OVER w AS context_messages,
-    CAST(sum(length(text)) OVER w AS BIGINT) AS context_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    with_inputs("", "commands").rstrip()
+    + f""", {SESSIONS} SELECT user_id, session, seq AS turn, 'user' AS role, min(seq) OVER w AS context_first_turn,
+    count(*) OVER w AS context_messages, CAST(sum(length(text)) OVER w AS BIGINT) AS context_chars FROM marked
+    WHERE text NOT IN ('/clear', '/quit', '/exit') WINDOW w AS (PARTITION BY user_id, session ORDER BY seq)""",
 )
 def prompt_contexts(spark, sf):
-    return chat.prompt_contexts(turns(spark, sf))
+    """What goes with each message of the sessions."""
+    commands = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq"))
+    turns = chat.sessions(commands).withColumnRenamed("seq", "turn").withColumn("role", F.lit("user"))
+    return chat.prompt_contexts(turns, ["user_id", "session"])

@@ -387,13 +387,13 @@ def name_sort(spark, sf):
         coalesce(arg_min(format, pos) FILTER (format IS NOT NULL), 'alpaca') AS formatting,
         arg_min(coalesce(key, '-'), pos) FILTER (format IS NOT NULL) AS message_key
         FROM (SELECT dataset, pos, 'part-' || pos || '.jsonl' AS file_name, {format_sql('record')} AS format, {key_sql('record')} AS key
-          FROM raw_records WHERE pos >= 5) v GROUP BY dataset""",
+          FROM raw_records) v GROUP BY dataset""",
         "raw_records",
     ),
 )
 def download_vote(spark, sf):
     """Each record as the first one of a file of its dataset's download."""
-    rows = load(spark, sf, "raw_records").filter("pos >= 5").select(
+    rows = load(spark, sf, "raw_records").select(
         "dataset",
         "pos",
         "record",

@@ -47,7 +47,7 @@ RECORD = f"""CASE doc_id % 8
   WHEN 3 THEN '{{"prompt": "' || {HEAD} || '", "completion": "' || {BODY} || '"}}'
   WHEN 4 THEN '{{"text": "' || {BODY} || '"}}'
   WHEN 5 THEN '{{"payload": "' || {BODY} || '"}}'
-  WHEN 6 THEN '{{"messages": [], "note": "' || {HEAD} || '"}}'
+  WHEN 6 THEN '{{"messages": [], "note": "' || {BODY} || '"}}'
   ELSE '{{"instruction": null, "output": "' || {BODY} || '"}}' END"""
 
 LOSS = int_of("value * 100")
@@ -131,7 +131,7 @@ INPUTS = {
         CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE sold END AS downloads, CAST(p_size AS BIGINT) AS likes,
         CASE p_partkey % 4 WHEN 0 THEN 'pytorch,text-generation' WHEN 1 THEN 'pytorch' END AS tag_text,
         CASE WHEN p_partkey % 5 = 0 THEN 'text-generation' WHEN p_partkey % 5 = 1 THEN 'translation' END AS pipeline_tag
-        FROM part p JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS sold FROM lineitem GROUP BY l_partkey) s
+        FROM part p LEFT JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS sold FROM lineitem GROUP BY l_partkey) s
           ON p.p_partkey = s.l_partkey""",
     # training logs ----------------------------------------------------------
     "log_lines": f"""SELECT 'run_' || {text_of('user_id')} AS run, event_id AS line_no, CASE
@@ -203,21 +203,9 @@ def with_inputs(body: str, *names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names) + " " + body
 
 
-# tables whose rows are parsed or rewritten at some cost
-COSTLY = ["documents", "events", "conversations", "pages", "orders"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.
-
-    A file of one row group is one task however many cores there are. Only then are the rows
-    of a costly table spread; a table of many splits is never shuffled here.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in COSTLY and rows.rdd.getNumPartitions() * 2 <= cores:
-        return rows.repartition(cores)
-    return rows
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

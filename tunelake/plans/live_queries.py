@@ -7,7 +7,7 @@ from ..operators import ordered
 from ..sources import files
 from ..streaming import discovery, logs, reasoning
 from . import chat_queries, dataset_queries, log_queries
-from .inputs import INPUTS, table
+from .inputs import INPUTS, load, table
 from .named import named
 from .session import conf, scratch
 
@@ -80,8 +80,15 @@ def live_metrics(spark, sf):
     ),
 )
 def live_monitor(spark, sf):
+    """Lines numbered without gaps arrive in several files and batches, in any order."""
+    lines = load(spark, sf, "log_lines").withColumn("block", ordered.block_of("line_no"))
+    dense = ordered.running(lines, ["run"], ["line_no"], "block", sums={"_number": F.lit(1)})
+    dense = dense.withColumn("line_no", F.col("_number") - 1).select("run", "line_no", "line")
+    folder = scratch(spark, "live-lines")
+    dense.repartition(8).write.parquet(folder)
+    arriving = spark.readStream.schema(dense.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     stream = logs.monitor_stream(
-        live_log(spark, sf), log_queries.TARGET, log_queries.LIMIT, dense=False
+        arriving.withColumn("block", ordered.block_of("line_no")), log_queries.TARGET, log_queries.LIMIT
     )
     with conf(spark, **ROCKSDB):
         rows = drain(stream, spark, "update")

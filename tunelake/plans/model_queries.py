@@ -254,7 +254,7 @@ def chat_option_union(spark, sf):
 @named(
     "tokenizer_audit",
     with_inputs(
-        f"""SELECT repo_id, snapshot, found, expected, replace(tok, found, expected) AS corrected FROM (
+        f"""SELECT repo_id, snapshot, found, expected, replace(replace(replace(tok, found, expected), '": ', '":'), ', "', ',"') AS corrected FROM (
           SELECT entry, {REPO} AS repo_id, snapshot, tok, tok ->> '$.tokenizer_class' AS found,
             {case_sql(TOKENIZER_BY_TYPE, "CASE WHEN json_valid(cfg) THEN cfg ->> '$.model_type' END")} AS expected FROM (
             SELECT c.entry, c.snapshot, c.content AS cfg, t.content AS tok,

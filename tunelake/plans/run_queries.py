@@ -307,14 +307,15 @@ def history_reset(spark, sf):
     "run_reconciliation",
     history_sql(
         """SELECT h.adapter, h.name, CASE WHEN a.path IS NULL THEN 'missing adapter' ELSE 'ok' END AS status
-        FROM history h LEFT JOIN (SELECT DISTINCT path FROM adapter_configs WHERE path LIKE '%1/lora') a ON h.adapter = a.path
+        FROM history h LEFT JOIN (SELECT DISTINCT path FROM adapter_configs WHERE content <> 'broken') a ON h.adapter = a.path
         UNION ALL SELECT DISTINCT path, NULL, 'no history' FROM adapter_configs
-        WHERE path LIKE '%1/lora' AND path NOT IN (SELECT adapter FROM history)""",
+        WHERE content <> 'broken' AND path NOT IN (SELECT adapter FROM history)""",
         "adapter_configs",
     ),
 )
 def run_reconciliation(spark, sf):
-    found = load(spark, sf, "adapter_configs").filter("path LIKE '%1/lora'").select("path")
+    """An adapter whose config is broken counts as gone."""
+    found = load(spark, sf, "adapter_configs").filter("content <> 'broken'").select("path")
     return runs.reconcile(history(spark, sf), found)
 
 

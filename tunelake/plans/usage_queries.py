@@ -69,14 +69,15 @@ def short_sizes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sizes.short_size_text(n).alias("size"))
 
 
-HEALTH = """SELECT 'doc_' || d.doc_id || '.json' AS file, CASE WHEN x.file IS NULL THEN 'missing' WHEN json_valid(x.content) THEN 'valid' ELSE 'corrupted' END AS status
-    FROM documents d LEFT JOIN (SELECT file, content FROM dataset_documents WHERE doc_id % 4 <> 1) x ON x.file = 'doc_' || d.doc_id || '.json'"""
+HEALTH = """SELECT 'doc_' || e.event_id || '.json' AS file, CASE WHEN x.file IS NULL THEN 'missing' WHEN json_valid(x.content) THEN 'valid' ELSE 'corrupted' END AS status
+    FROM events e LEFT JOIN dataset_documents x ON x.file = 'doc_' || e.event_id || '.json'"""
 
 
 def health(spark, sf):
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".json"))
-    expected = table(spark, sf, "documents").select(name.alias("file"))
-    present = load(spark, sf, "dataset_documents").filter("doc_id % 4 <> 1")
+    """A file is expected per event; those without a document are missing."""
+    name = F.concat(F.lit("doc_"), F.col("event_id").cast("string"), F.lit(".json"))
+    expected = table(spark, sf, "events").select(name.alias("file"))
+    present = load(spark, sf, "dataset_documents")
     return usage.file_health(expected, present.select("file", "content"))
 
 
