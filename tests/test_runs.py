@@ -116,7 +116,7 @@ def test_history(spark):
     names = spark.createDataFrame([("r1",)], "name string")
     nameless = history.withColumn("name", F.when(F.col("seq") == 1, F.col("name")))
     assert rows(runs.without_runs(nameless, names), "seq") == [(2,)]
-    assert runs.reset_history(history).count() == 0
+    assert rows(runs.reset_history(history, names), "seq") == [(2,)]
     assert runs.state_after(history).filter("name = 'r1'").first()["active_dataset"] == "d1"
     more = runs.append_history(history, df.withColumn("seq", F.col("seq") + 10).filter("run = 'r1'"))
     assert rows(more, "seq") == [(1,), (11,), (2,)]
@@ -131,6 +131,8 @@ def test_reconcile(spark):
 
 
 def test_state(spark):
-    df = spark.createDataFrame([(1, "m", None, None, None, "light")], "user_id int, active_model string, active_adapter string, active_template string, active_dataset string, theme string")
-    assert rows(runs.merge_state(df)) == [(1, "m", "", "qwen3", "", "light")]
-    assert rows(runs.reset_state(df)) == [(1, "", "", "qwen3", "", "dark")]
+    fields = "user_id int, active_model string, active_adapter string, active_template string, active_dataset string, theme string, training_history string"
+    df = spark.createDataFrame([(1, "m", None, None, None, "light", None), (2, "n", None, "t", None, None, '["r"]')], fields)
+    two = (2, "n", "", "t", "", "dark", '["r"]')
+    assert rows(runs.merge_state(df)) == [(1, "m", "", "qwen3", "", "light", "[]"), two]
+    assert rows(runs.reset_state(df, df.filter("user_id = 1"))) == [(1, "", "", "qwen3", "", "dark", "[]"), two]

@@ -158,6 +158,7 @@ STATE_DEFAULTS = {
     "active_template": "qwen3",
     "active_dataset": "",
     "theme": "dark",
+    "training_history": "[]",
 }
 HISTORY_FIELDS = [
     "name", "output_name", "model", "adapter", "template",

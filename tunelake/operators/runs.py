@@ -186,8 +186,9 @@ def without_runs(history: DataFrame, names: DataFrame) -> DataFrame:
     return history.join(names.select("name").distinct(), "name", "left_anti").select(*history.columns)
 
 
-def reset_history(history: DataFrame) -> DataFrame:
-    return history.limit(0)
+def reset_history(history: DataFrame, names: DataFrame) -> DataFrame:
+    """The history without the records of the given names."""
+    return without_runs(history, names)
 
 
 def reconcile(history: DataFrame, found: DataFrame) -> DataFrame:
@@ -232,11 +233,16 @@ def merge_state(stored: DataFrame) -> DataFrame:
     )
 
 
-def reset_state(stored: DataFrame) -> DataFrame:
-    """Every state back to the defaults."""
-    return stored.select(
+def reset_state(stored: DataFrame, users: DataFrame) -> DataFrame:
+    """The given users' states back to the defaults; the others' over the defaults as stored."""
+    chosen = users.select("user_id").distinct().withColumn("_reset", F.lit(True))
+    rows = stored.join(chosen, "user_id", "left")
+    return rows.select(
         *[c for c in stored.columns if c not in STATE_DEFAULTS],
-        *[F.lit(v).alias(k) for k, v in STATE_DEFAULTS.items()],
+        *[
+            F.when(F.col("_reset").isNull(), F.coalesce(F.col(k), F.lit(v))).otherwise(F.lit(v)).alias(k)
+            for k, v in STATE_DEFAULTS.items()
+        ],
     )
 
 

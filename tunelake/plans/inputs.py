@@ -180,7 +180,8 @@ INPUTS = {
         CASE WHEN p_size % 2 = 0 THEN 'true' END AS fp16, '8' AS workers, 'true' AS pin_memory FROM part""",
     "states": f"""SELECT o_orderkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'org/model-' || {text_of('o_custkey')} END AS active_model,
         CAST(NULL AS STRING) AS active_adapter, CASE WHEN o_orderkey % 3 = 0 THEN 'llama3' END AS active_template,
-        CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS active_dataset, CASE WHEN o_orderkey % 7 = 0 THEN 'light' END AS theme
+        CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS active_dataset, CASE WHEN o_orderkey % 7 = 0 THEN 'light' END AS theme,
+        CASE WHEN o_orderkey % 4 = 0 THEN '["run_' || {text_of('o_orderkey')} || '"]' END AS training_history
         FROM orders""",
     # usage ------------------------------------------------------------------
     "disk_files": f"""SELECT CASE {SOURCE_NO} % 5 WHEN 0 THEN 'data' WHEN 1 THEN 'yaml' WHEN 2 THEN 'saves' WHEN 3 THEN 'models' ELSE 'other' END AS directory,

@@ -298,9 +298,14 @@ def history_without_runs(spark, sf):
     return runs.without_runs(history(spark, sf), failed).select("seq", "name")
 
 
-@named("history_reset", history_sql("SELECT seq, name FROM history WHERE false"))
+@named(
+    "history_reset",
+    history_sql("SELECT seq, name FROM history WHERE name NOT IN (SELECT name FROM history WHERE template IS NULL)"),
+)
 def history_reset(spark, sf):
-    return runs.reset_history(history(spark, sf)).select("seq", "name")
+    """Names with a record without template are reset."""
+    rows = history(spark, sf)
+    return runs.reset_history(rows, rows.filter("template IS NULL")).select("seq", "name")
 
 
 @named(
@@ -351,10 +356,17 @@ def state_defaults(spark, sf):
 
 @named(
     "state_reset",
-    with_inputs("SELECT user_id, " + ", ".join(f"'{v}' AS {k}" for k, v in STATE_DEFAULTS.items()) + " FROM states", "states"),
+    with_inputs(
+        "SELECT user_id, "
+        + ", ".join(f"CASE WHEN theme = 'light' THEN '{v}' ELSE coalesce({k}, '{v}') END AS {k}" for k, v in STATE_DEFAULTS.items())
+        + " FROM states",
+        "states",
+    ),
 )
 def state_reset(spark, sf):
-    return runs.reset_state(load(spark, sf, "states"))
+    """Users of the light theme are reset."""
+    states = load(spark, sf, "states")
+    return runs.reset_state(states, states.filter("theme = 'light'"))
 
 
 @named(

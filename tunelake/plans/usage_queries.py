@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import sizes
-from ..operators import usage
+from ..operators import ordered, usage
 from ..sources import files
 from .inputs import load, table, with_inputs
 from .named import named
+from .session import scratch
 
 SHORT = """CASE WHEN bytes >= 1073741824 THEN printf('%.2f GB', bytes / 1073741824.0) WHEN bytes >= 1048576 THEN printf('%.1f MB', bytes / 1048576.0)
     ELSE bytes || ' B' END"""
@@ -19,10 +20,18 @@ def long_sql(n):
     return f"CASE WHEN {n} IS NULL THEN '?' {tests} ELSE printf('%.1f PB', {n} / {1024 ** 5}.0) END"
 
 
-@named("manifest_scan")
+@named(
+    "manifest_scan",
+    "SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
+)
 def manifest_scan(spark, sf):
-    """Path and size of the driver table files themselves."""
-    return files.file_manifest(spark, sf).select("file_name", "length")
+    """Sizes of text files, one folder per source, that hold the documents."""
+    folder = scratch(spark, "manifest")
+    rows = table(spark, sf, "documents").withColumn("block", ordered.block_of("doc_id"))
+    files.write_lines(rows, folder, "source", "text", "doc_id")
+    found = files.file_manifest(spark, folder).filter("file_name LIKE 'part-%'")
+    name = F.regexp_extract("path", r"source=([^/]+)/", 1)
+    return found.groupBy(name.alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
 @named(
