@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 SAMPLE = 16_000
 #: Vectors of a list, on average, while the sample has eight vectors for each centroid.
 LIST = 2000
-BLOCK = 2048
+#: Rows of a block: of a list, and of its queries.
+BLOCK = 8192
 QUERY_BLOCK = 256
 TARGET = 0.975
 BORDER = 1.10
