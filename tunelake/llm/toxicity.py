@@ -87,8 +87,9 @@ def embed(words: list[str]):
     symbol[begins], symbol[codes == 13] = _BEGIN, _END
     keys, weights = [], []
     for a, b in _OFFSETS:
-        x, y, z = symbol[: len(symbol) - b], symbol[a : len(symbol) - b + a], symbol[b:]
-        at = np.flatnonzero((x > 0) & (y > 0) & (z > 0) & (number[: len(symbol) - b] == number[b:]))
+        n = max(0, len(symbol) - b)
+        x, y, z = symbol[:n], symbol[a : a + n], symbol[b : b + n]
+        at = np.flatnonzero((x > 0) & (y > 0) & (z > 0) & (number[:n] == number[b : b + n]))
         keys.append((number[at] << 18) | (x[at] << 12) | (y[at] << 6) | z[at])
         weights.append(np.full(len(at), DECAY ** (b + 1)))
     keys, weights = np.concatenate(keys), np.concatenate(weights)
