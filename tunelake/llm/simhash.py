@@ -5,7 +5,8 @@ bits agree in at least two blocks, so they share a key in one of the fifteen tab
 blocks). Within a key, distances are verified and only the edges of a spanning star per
 connected set are given out, never all pairs. A key with more than `group` distinct
 fingerprints is divided again: its remaining bits are cut into five blocks, of which a close
-pair shares one. As fingerprints are distinct, this ends, and no group outgrows one task.
+pair shares one. Fingerprints that are still crowded after two divisions lie close together;
+their key is cut into parts, and a task compares two parts, so no group outgrows one task.
 
 Texts that agree in four fifths of their shingles differ in about a seventh of the bits, too
 many for blocks that must agree for sure. `similar_groups` finds them with 512 bits in 32
@@ -33,6 +34,8 @@ SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints compared with each other at once.
 GROUP = 1024
+#: Times that crowded keys are divided by further bits.
+DIVISIONS = 2
 #: Bits of the wide fingerprint, and bytes of its blocks.
 WIDE = 512
 BLOCK_BYTES = 2
@@ -142,6 +145,18 @@ def _stars(distance: int):
     return run
 
 
+def _pairs_of_parts(rows: DataFrame, crowded: DataFrame, keys: list[str], group: int) -> DataFrame:
+    """Arrays `fps`, of about `group` fingerprints, in which any two of one key meet."""
+    cut = (
+        rows.join(crowded, keys)
+        .withColumn("parts", F.ceil(F.col("n") * 2 / group).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    )
+    pair = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    return cut.groupBy(*keys, *pair).agg(F.collect_list("fp").alias("fps")).select("fps")
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all pairs at most `distance` apart.
 
@@ -150,7 +165,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, g
     masks = _masks(list(range(BITS)), blocks, blocks - distance)
     rows = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     found = None
-    while True:
+    for division in range(DIVISIONS + 1):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = stored(
             rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys"
@@ -162,10 +177,14 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, g
         )
         edges = gathered.select("fps").mapInPandas(_stars(distance), "a long, b long")
         found = edges if found is None else found.union(edges)
-        crowded = sizes.filter(F.col("n") > group).drop("n")
-        again = [r.mask for r in crowded.select("mask").distinct().collect()]  # masks only, a few dozen
+        crowded = sizes.filter(F.col("n") > group)
+        again = [r.mask for r in crowded.select("mask").distinct().collect()]  # 375 masks at most
         if not again:
             return found
+        if division == DIVISIONS:
+            pairs = _pairs_of_parts(rows, crowded, ["mask", "key"], group)
+            return found.union(pairs.mapInPandas(_stars(distance), "a long, b long"))
+        crowded = crowded.drop("n")
         finer = {}
         for mask in again:
             free = [b for b in range(BITS) if not mask >> b & 1]
@@ -243,33 +262,17 @@ def _wide_stars(distance: int):
 def wide_links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between fingerprints that agree in a block and differ in at most `distance` bits.
 
-    A block value that more than `group` fingerprints share is split by each further block.
+    A block value that more than `group` fingerprints share is cut into parts, which are
+    compared two by two.
     """
     blocks = WIDE // 8 // BLOCK_BYTES
     values = F.array(*[F.substring("fp", 1 + BLOCK_BYTES * i, BLOCK_BYTES) for i in range(blocks)])
-    rows = distinct.select("fp", F.posexplode(values).alias("block", "value"))
-    rows = rows.select("fp", F.array("block").alias("blocks"), F.array("value").alias("key"))
-    found = None
-    for level in range(1, blocks + 1):
-        sizes = stored(
-            rows.groupBy("blocks", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys"
-        )
-        last = level == blocks
-        gathered = (
-            rows.join(sizes.filter(F.lit(last) | (F.col("n") <= group)).drop("n"), ["blocks", "key"])
-            .groupBy("blocks", "key").agg(F.collect_list("fp").alias("fps"))
-        )
-        edges = gathered.select("fps").mapInPandas(_wide_stars(distance), "a binary, b binary")
-        found = edges if found is None else found.union(edges)
-        crowded = sizes.filter(F.col("n") > group).drop("n")
-        if last or crowded.isEmpty():
-            return found
-        finer = rows.join(crowded, ["blocks", "key"]).select("fp", "blocks", "key", F.posexplode(values).alias("block", "value"))
-        rows = (
-            finer.filter(~F.array_contains("blocks", F.col("block")))
-            .select("fp", F.concat("blocks", F.array("block")).alias("blocks"), F.concat("key", F.array("value")).alias("key"))
-            .distinct()
-        )
+    rows = distinct.select("fp", F.posexplode(values).alias("block", "key"))
+    keys = ["block", "key"]
+    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
+    gathered = rows.join(sizes.filter(F.col("n") <= group).drop("n"), keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps"))
+    pairs = _pairs_of_parts(rows, sizes.filter(F.col("n") > group), keys, group)
+    return gathered.select("fps").union(pairs).mapInPandas(_wide_stars(distance), "a binary, b binary")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
