@@ -45,10 +45,6 @@ def _in(keys: Column, *names: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def has_key(record: Column, key: str) -> Column:
-    return _in(F.json_object_keys(record), key)
-
-
 def key_of(keys: Column) -> Column:
     return F.when(_in(keys, "messages"), F.lit("messages")).when(
         _in(keys, "conversations"), F.lit("conversations")

@@ -64,11 +64,6 @@ def parse_metrics(line: Column) -> Column:
     return F.when(is_metrics(line), F.get(values, F.lit(0)))
 
 
-def has_metrics(metrics: Column) -> Column:
-    """At least one of the four values was parsed."""
-    return F.coalesce(*[metrics[k] for k in METRIC_FIELDS]).isNotNull()
-
-
 def total_steps(line: Column) -> Column:
     found = F.regexp_extract(line, TOTAL_STEPS_PATTERN, 1)
     return F.nullif(found, F.lit("")).try_cast("bigint")

@@ -257,5 +257,3 @@ def state_after(history: DataFrame) -> DataFrame:
         F.col("adapter").alias("active_adapter"),
     )
 
-
-HISTORY_COLUMNS = ["seq", *HISTORY_FIELDS]

@@ -74,7 +74,10 @@ COHORTS = 32
     "log_scan",
     log_sql(
         f"""SELECT 'cohort_' || CAST(substr(run, 5) AS BIGINT) % {COHORTS} AS run, count(*) AS lines, count(*) FILTER (m) AS steps,
-        CAST(sum(length(line)) AS BIGINT) AS chars FROM parsed GROUP BY 1"""
+        CAST(sum(length(line)) AS BIGINT) AS chars, min(place) AS first, max(place) AS last, CAST(sum(place) AS BIGINT) AS places,
+        CAST(sum(place * length(line)) AS BIGINT) AS weighted FROM (
+          SELECT *, row_number() OVER (PARTITION BY CAST(substr(run, 5) AS BIGINT) % {COHORTS}, line_no // {ordered.BLOCK_ROWS} ORDER BY line_no) - 1 AS place
+          FROM parsed) p GROUP BY 1"""
     ),
 )
 def log_scan(spark, sf):
@@ -91,6 +94,10 @@ def log_scan(spark, sf):
         F.count(F.lit(1)).alias("lines"),
         F.count_if(logline.is_metrics(F.col("line"))).alias("steps"),
         F.sum(F.length("line")).alias("chars"),
+        F.min("line_no").alias("first"),
+        F.max("line_no").alias("last"),
+        F.sum("line_no").alias("places"),
+        F.sum(F.col("line_no") * F.length("line")).alias("weighted"),
     )
 
 
