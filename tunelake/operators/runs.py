@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..functions.constants import (
     CONFIG_DEFAULTS,
-    HISTORY_FIELDS,
     LORA_DEFAULTS,
     STATE_DEFAULTS,
     TARGET_LOSS_STEPS,

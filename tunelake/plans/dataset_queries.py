@@ -208,9 +208,8 @@ def download_files(spark, sf):
 def registry_read(spark, sf):
     """Registry rows to one-entry registry documents and back."""
     entries = registry_io.entry_json(registry_frame(spark, sf))
-    docs = entries.select(
-        F.concat(F.lit('{"'), "name", F.lit('": '), "entry", F.lit("}")).alias("content")
-    )
+    name = F.regexp_extract(F.to_json(F.array("name")), r"^\[(.*)\]$", 1)
+    docs = entries.select(F.concat(F.lit("{"), name, F.lit(": "), "entry", F.lit("}")).alias("content"))
     return flat(registry_io.parse_registry(docs))
 
 
