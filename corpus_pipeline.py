@@ -30,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 or more the one with the smallest doc_id.
 
-    Similarity is that of the texts' five-word shingles, as their fingerprints tell it.
+    Similarity is that of the texts' sets of five-word shingles; fingerprints propose the pairs.
     """
     groups = simhash.similar_groups(docs)
     return only_rows(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
