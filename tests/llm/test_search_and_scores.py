@@ -59,6 +59,23 @@ def test_nearest_of_one_common_vector(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(q, i) for q in (0, 7) for _, i in want[q]]
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_with_repeated_ids(spark, same):
+    """Copies of a few rows, or one id with many vectors, do not crowd out other ids."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=8) + 3).tolist()) for i in range(200)]
+    rows += [(i, [9.0] * 8 if same else [9.0 + j / 100] * 8) for i in range(200, 204) for j in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(df, df.filter("vec_id < 10"), 5, list_size=1000).collect()
+    for q in range(10):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(rows[q][1], v)))
+        want = sorted(best, key=lambda i: (-round(best[i], 9), i))[:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 TEXTS = [(i, " ".join(np.random.default_rng(i).choice(list("abcdefgh"), 5 + i % 9).tolist())) for i in range(60)]
 TEXTS += [(100, None), (101, ""), (102, "A b\tB  c\n\nunseen"), (100, None), (None, "a b"), (103, "É é " * 50), (104, "a " * 3000)]
 

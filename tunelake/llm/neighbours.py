@@ -8,8 +8,8 @@ nearest-neighbour graph in memory; a query walks it and takes all lists whose di
 most a ratio times the nearest one. The ratio is fitted on the sample to a target recall.
 
 Lists are cut into blocks of bounded rows, queries of a list likewise; a join by list pairs
-blocks, and each pair gives the best rows of each of its queries. So a list or a query that
-many rows share is spread over tasks.
+blocks, and each pair gives the best ids of each of its queries. So a list or a query that
+many rows share is spread over tasks. Rows that repeat an id and its vector are merged before.
 """
 
 import heapq
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Vectors that the index is fitted on, about.
 SAMPLE = 16_000
 #: Vectors of a list, on average, while the sample has eight vectors for each centroid.
@@ -134,7 +136,7 @@ class Index:
         return sorted(x for x in found if x[0] <= ratio * best)
 
     def choose(self, query: np.ndarray, sizes: np.ndarray, k: int) -> list[int]:
-        """Lists to search: those within the ratio, and more, in order, until they hold over k vectors."""
+        """Lists to search: those within the ratio, and more, in order, until they hold over k ids."""
         chosen = [n for _, n in self.walk(query, self.ratio)]
         if sizes[chosen].sum() <= k:
             chosen = np.argsort(((self.centroids - query) ** 2).sum(1), kind="stable").tolist()
@@ -161,7 +163,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     parts = F.ceil(F.col("n") / size)
     return (
         rows.join(counts, "list")
-        .withColumn("block", F.pmod(F.xxhash64("id"), parts))
+        .withColumn("block", F.pmod(F.xxhash64("id", "vector"), parts))
         .groupBy("list", "block")
         .agg(F.collect_list(F.struct("id", "vector")).alias(name))
         .drop("block")
@@ -178,18 +180,18 @@ def nearest(
     products of the original vectors in double precision, ties go to the smaller vec_id. Rows
     that `usable` leaves out take no part on either side. Repeated vec_ids count as one
     candidate (the best of its rows), and as one query. Every row is indexed; the fit uses
-    about `sample` rows, chosen by a hash of their ids. Other columns are ignored.
+    about `sample` rows, chosen by a hash of id and vector. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    base = usable(vectors, id_column, column)
-    asked = usable(queries, id_column, column)
+    base = stored(usable(vectors, id_column, column).distinct(), "vectors")
+    asked = usable(queries, id_column, column).distinct()
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total, longest = base.agg(F.count(F.lit(1)), F.max(norm)).first()
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
     share = int((1 << 31) * min(1.0, sample / total))
-    picked = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < share).select("vector").toArrow()
+    picked = base.filter(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 31)) < share).select("vector").toArrow()
     points = _matrix((picked if len(picked) else base.limit(1).select("vector").toArrow()).column("vector").combine_chunks())
     lists = int(np.clip(round(total / list_size), 1, max(1, len(points) // 8)))
     index = Index(points, float(np.sqrt(longest)), lists, k, target)
@@ -213,7 +215,9 @@ def nearest(
                 yield rows_of(part, index.lists_of(index.stored_form(_matrix(part.column("vector")))))
 
     placed = base.mapInArrow(place, "list int, id long, vector array<double>, own boolean")
-    own = {r["list"]: r.n for r in placed.filter("own").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # an id whose vectors lie in several lists counts in one of them
+    owners = placed.filter("own").groupBy("id").agg(F.min("list").alias("list"))
+    own = {r["list"]: r.n for r in owners.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = np.array([own.get(i, 0) for i in range(lists)])  # one number per list
 
     def ask(batches):
@@ -233,15 +237,20 @@ def nearest(
             for i in range(len(batch)):
                 base_ids, base_vectors = _block(batch.column("stored")[i].values)
                 ask_ids, ask_vectors = _block(batch.column("asked")[i].values)
+                order = np.argsort(base_ids, kind="stable")
+                base_ids, base_vectors = base_ids[order], base_vectors[order]
+                firsts = np.flatnonzero(np.concatenate([[True], base_ids[1:] != base_ids[:-1]]))
                 rough = ask_vectors @ base_vectors.T
                 out = []
                 for query, row in enumerate(rough):
                     row[base_ids == ask_ids[query]] = -np.inf
-                    kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    per_id = np.maximum.reduceat(row, firsts)
+                    kth = np.partition(per_id, -k)[-k] if len(per_id) > k else -np.inf
                     slack = 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else 0
                     near = np.flatnonzero((row >= kth - slack) & (row > -np.inf))
                     exact = (base_vectors[near] * ask_vectors[query]).sum(axis=1)
-                    best = np.lexsort((base_ids[near], -exact))[:k]
+                    best = np.lexsort((base_ids[near], -exact))
+                    best = best[np.sort(np.unique(base_ids[near][best], return_index=True)[1])[:k]]
                     out.append((np.full(len(best), ask_ids[query]), base_ids[near][best], exact[best]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=found_schema
