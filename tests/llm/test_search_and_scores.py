@@ -184,6 +184,18 @@ def test_detector_tolerates_gaps():
     assert score(base) < 0.5 and score("") < 0.5
 
 
+def test_every_offending_word_counts():
+    """Words of larger margin and no evidence do not push an offending one out of the sum."""
+    detector = toxicity.Detector(*labelled(600, 3)[:2])
+    values = {"grumblok": (1.0, 12.0)} | {f"weak{i}": (5.0, 0.0) for i in range(20)}
+    detector.base = -6.0
+    detector._values = lambda words, *weights: np.array([values.get(w, (-5.0, 0.0)) for w in words]).T
+    detector.bias = 0.0
+    score = lambda t: float(detector.scores([t], ChunkTable(detector.offences, 1000))[0])
+    assert score("grumblok") > 0.99
+    assert score(" ".join(values)) == score("grumblok")
+
+
 def test_toxicity_query_shape(spark):
     texts, labels, _ = labelled(400, 4)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1), (9000, "", 1)], "doc_id long, text string, predicted int")

@@ -13,10 +13,10 @@ kernel with a bounded set of landmarks (Nyström). The fitted function is linear
 subsequence space, so it is folded into one weight per subsequence, and each distinct word of
 a worker's texts is scored once. How much an offending word says about its text (some occur in
 clean ones too) is a second function on the same landmarks, fitted by logistic regression on
-the sums over a text's worst words; a text's score is that logistic function.
+the sums over all distinct offending words of a text; a text's score is that logistic function.
 """
 
-import heapq
+import math
 import re
 import zlib
 from itertools import chain
@@ -45,8 +45,6 @@ SUPPORT = 0.01
 PROOF = 10.0
 #: Ordinary words that a round of learning adds: at first drawn at random, then the worst.
 HARD = 2500
-#: A text's worst words that its score looks at.
-WORST = 8
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -226,7 +224,6 @@ class Detector:
             worst = clean[np.argsort(-margin[clean], kind="stable")][:HARD].tolist()
             bad |= dict.fromkeys(worst)
         hits = [b[margin[b] > 0] for b in bags]
-        hits = [h[np.argsort(-margin[h], kind="stable")][:WORST] for h in hits]
         distinct = np.unique(np.concatenate(hits))
         if not len(distinct):
             return
@@ -261,19 +258,16 @@ class Detector:
         """The machine's value of each word; offending words are above zero."""
         return self._values(words, self.weights)[0] + self.bias
 
-    def offences(self, words: list[str]) -> list[tuple[float, float]]:
-        """Margin and evidence of each word; zero for words on the harmless side."""
+    def offences(self, words: list[str]) -> list[float]:
+        """Evidence of each word; zero for words on the harmless side."""
         margin, evidence = self._values(words, self.weights, self.evidence)
-        margin = margin + self.bias
-        evidence[margin <= 0] = 0
-        return list(zip(np.maximum(margin, 0).tolist(), evidence.tolist(), strict=True))
+        evidence[margin + self.bias <= 0] = 0
+        return evidence.tolist()
 
     def scores(self, texts: list[str], table: ChunkTable) -> np.ndarray:
         bags = [set(words_of(t.lower())) for t in texts]
         table.learn(chain.from_iterable(bags))
-        logits = [
-            self.base + sum(e for _, e in heapq.nlargest(WORST, map(table.__getitem__, bag))) for bag in bags
-        ]
+        logits = [self.base + math.fsum(map(table.__getitem__, bag)) for bag in bags]
         return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
 
 
