@@ -198,6 +198,20 @@ def test_passages_carry_and_text(spark):
     assert [tuple(r)[4] for r in got.orderBy("doc_id").collect()][1] == "xy"
 
 
+@pytest.mark.parametrize("contents", [2000, 1])
+def test_passages_of_repeated_first_rows(spark, contents):
+    """Equal rows are both the first copy; a null doc_id too."""
+    shared, texts = prose(50, 30), []
+    for i in (1, None):
+        own = prose(60 if i else 61, 30) + " " + shared
+        texts += [(i, own + prose(51, 20)), (i, own + prose(51, 20))]
+    texts.append((2, shared + " " + prose(52, 20)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = passages.remove_passages(docs, 40, True, contents).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_removal(texts, 40, True)
+    assert all(r.n_removed == 0 for r in got if r.doc_id is None)
+
+
 def test_passages_empty(none):
     assert passages.passage_digests(none).collect() == []
 

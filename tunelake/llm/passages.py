@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -306,9 +306,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, first: bool = False,
         .groupBy("doc_id", "row_key")
         .agg(F.collect_list("run").alias("runs"))
     )
+    # rows are matched by row_key alone, so that one of equal rows is taken without another shuffle
+    same = (docs.doc_id == wanted.doc_id) | (docs.doc_id.isNull() & wanted.doc_id.isNull())
+    copies = Window.partitionBy("row_key", "doc_id").orderBy(F.lit(0))
     cut = (
-        docs.join(wanted, same_row(docs, wanted))
+        docs.join(wanted, (docs.row_key == wanted.row_key) & same)
         .select(docs.doc_id, docs.row_key, docs.text, wanted.runs)
+        .withColumn("copy", F.row_number().over(copies)).filter("copy = 1").drop("copy")
         .mapInArrow(
             _cut_contents(length),
             "anchor long, doc_id long, row_key long, start int, n long, bytes binary, crowded boolean",
