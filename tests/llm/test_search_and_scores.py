@@ -184,6 +184,17 @@ def test_detector_tolerates_gaps():
     assert score(base) < 0.5 and score("") < 0.5
 
 
+def test_detector_tolerates_wide_gaps_and_pairs():
+    texts, labels, plain = labelled(600, 3)
+    detector = toxicity.Detector(texts, labels)
+    score = lambda t: float(detector.scores([t], ChunkTable(detector.offences, 1000))[0])
+    base = " ".join(plain[:20])
+    for w in ("g--r--u--m--b--l--o--k", "d...u...n...g...h...e...a...d", "v-*-e-*-x-*-w-*-o-*-r-*-t",
+              "du ng he ad", "gr um bl ok", "it is ve xw or t so", "dun--ghe--ad"):
+        assert score(f"{base} {w} {base}") >= 0.5, w
+    assert score(f"{base} it is so or to be at {base}") < 0.5
+
+
 def test_every_offending_word_counts():
     """Words of larger margin and no evidence do not push an offending one out of the sum."""
     detector = toxicity.Detector(*labelled(600, 3)[:2])

@@ -45,7 +45,10 @@ SUPPORT = 0.01
 PROOF = 10.0
 #: Ordinary words that a round of learning adds: at first drawn at random, then the worst.
 HARD = 2500
+#: Characters of a part of a run of short words; the whole run is a word at any length.
+PART = 16
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_SHORT = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -67,12 +70,28 @@ _BEGIN, _END = 62, 63
 _SYMBOLS = _symbols()
 
 
+#: Characters below U+0250 that are no symbols.
+_OTHER = re.compile("[" + "".join(re.escape(chr(i)) for i in range(len(_SYMBOLS)) if not _SYMBOLS[i]) + "]+")
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a text, and runs of single characters as further words."""
+    """The words of a text; as further words, those with other characters inside without them,
+    and runs of short words with their parts of three words or more.
+    """
     words = text.split()
-    if any(len(w) == 1 for w in words):
-        words += ["".join(m.split()) for m in _SINGLES.findall(text)]
-    return words
+    joined = ["".join(m.split()) for m in _SINGLES.findall(text)]
+    for match in _SHORT.findall(text):
+        run = match.split()
+        joined.append("".join(run))
+        for i in range(len(run) - 2):
+            part = run[i] + run[i + 1]
+            for w in run[i + 2 :]:
+                part += w
+                if len(part) > PART:
+                    break
+                joined.append(part)
+    words += joined
+    return words + [w for w in (_OTHER.sub("", w) for w in words if not w.isalnum()) if w]
 
 
 def embed(words: list[str]):
