@@ -154,6 +154,23 @@ def test_extraction_leaves_out_other_parts():
     assert extraction.main_texts([page], trees) == [WANT]
 
 
+@pytest.mark.parametrize("tag", ["video", "object", "svg", "canvas", "audio", "math", "noscript", "template", "select", "iframe"])
+def test_unclosed_elements_keep_the_rest_of_the_page(tag):
+    for more in ("", f"<{tag}><p>left open</p></{tag}>"):
+        page = dom.Page(f"<body><div><{tag} class=x></div><article><p>The text.</p></article>{more}</body>")
+        texts = page.blocks([True] * len(page.tag))
+        assert "The text." in texts
+        assert page.blocks(dom.marked(page)) == ["The text."]
+
+
+def test_content_of_closed_elements():
+    page = dom.Page(
+        "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a><p>Fallback text.</p></object>"
+        "<script>if (a) '<p>no</p>'</script><select><option>One</select><template><p>two</p></template><p>End.</p><script>rest"
+    )
+    assert page.blocks([True] * len(page.tag)) == ["Where x=2 holds.", "Fallback text.", "End."]
+
+
 def test_decoding_is_hierarchical_and_best():
     rng = np.random.default_rng(2)
     for _ in range(50):

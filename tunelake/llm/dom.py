@@ -16,11 +16,16 @@ _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*
 
 # fixed values: elements of HTML by how their content is read
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math select canvas audio video title".split())
+RAW = set("script style textarea title".split())  # to the closing tag, or to the end
+UNSEEN = set("iframe select template".split())  # left out where they are closed, else elements as others
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr br img".split()
+    " span strike strong sub sup time tt u var wbr br img"
+    " math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
+_CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: The next tag of that name: a closing one has group 1, an opening one has not.
+_EITHER = {tag: re.compile(rf"<(/)?{tag}\b[^>]*(?:>|\Z)", re.I) for tag in UNSEEN}
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -60,7 +65,7 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.words, self.text, self.block = ["#root"], [-1], [()], [""], [-1]
         self.hidden = [False]
-        self._stack, self._block = [0], 0
+        self._stack, self._block, self._open_ended = [0], 0, set()
         self._read(html)
 
     def _add(self, tag, words=(), text="", hidden=False):
@@ -129,9 +134,14 @@ class Page:
         elif tag in VOID or attributes.endswith("/") and tag not in CLOSES_P:
             pass
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            end = _CLOSING[tag].search(html, at)
             at = end.end() if end else len(html)
         else:
+            end = _EITHER[tag].search(html, at) if tag in UNSEEN and tag not in self._open_ended else None
+            if end and end.group(1):
+                return end.end()
+            if tag in UNSEEN and not end:
+                self._open_ended.add(tag)  # none further on is closed either
             self._stack.append(self._add(tag, words, hidden=hidden))
         return at
 
