@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, extraction, kneser, neighbours, packing, passages, pieces, simhash, toxicity, warc
+from . import (
+    exact_dedup,
+    extraction,
+    kneser,
+    negatives,
+    neighbours,
+    packing,
+    passages,
+    pieces,
+    quality,
+    simhash,
+    spelling,
+    toxicity,
+    warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -78,3 +92,18 @@ def op9(spark, sf_dir):
 @_named("op10_html_extraction")
 def op10(spark, sf_dir):
     return extraction.extract(_read(spark, sf_dir, "pages"))
+
+
+@_named("op11_quality_classifier")
+def op11(spark, sf_dir):
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_named("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+@_named("op13_hard_negatives", negatives.ORACLE)
+def op13(spark, sf_dir):
+    return negatives.mine(_read(spark, sf_dir, "embeddings"))
