@@ -277,10 +277,10 @@ def mine(
 ORACLE = """
 WITH r AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS v
+        [floor(x::DOUBLE * 256) for x in embedding] AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ),
 s AS (
     SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
