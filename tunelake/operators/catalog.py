@@ -105,7 +105,7 @@ def classify(records: DataFrame) -> DataFrame:
     return records.withColumn("_c", record).select(*records.columns, "_c.*")
 
 
-def _described(files: DataFrame) -> DataFrame:
+def described(files: DataFrame) -> DataFrame:
     """Detected files from rows (file, record = first record or NULL, examples)."""
     name = base_name(F.col("file"))
     return classify(files).select(
@@ -130,7 +130,7 @@ def detect_files(records: DataFrame, from_files: bool = False) -> DataFrame:
     slim = records.select(
         "file", "block", "pos", head.alias("record"), F.col("record").rlike(r"\S").alias("filled")
     )
-    return _described(
+    return described(
         slim.groupBy("file").agg(
             F.min_by("record", F.struct("block", "pos")).alias("record"),
             F.count_if("filled").alias("examples"),
@@ -138,19 +138,27 @@ def detect_files(records: DataFrame, from_files: bool = False) -> DataFrame:
     )
 
 
-def detect_documents(documents: DataFrame) -> DataFrame:
-    """Format and number of examples of `.json` documents (file, content), without a shuffle.
+def document_heads(documents: DataFrame) -> DataFrame:
+    """(file, shape, record, examples) of `.json` documents (file, content), from one parse.
 
-    A document that is one object counts as one example and has no format.
+    `record` is the first record; a document that is one object counts as one example and
+    has none.
     """
 
     def head(shape, items):
         first = F.lit(None).cast("string") if shape == "object" else F.get(items, F.lit(0))
         filled = F.filter(items, lambda x: x.rlike(r"\S")) if shape == "lines" else items
-        return F.struct(first.alias("record"), F.size(filled).cast("bigint").alias("examples"))
+        return F.struct(
+            F.lit(shape).alias("shape"), first.alias("record"), F.size(filled).cast("bigint").alias("examples")
+        )
 
     read = _read_document(detect.strip_bom(F.col("content")), head)
-    return _described(documents.select("file", read.alias("_d")).select("file", "_d.*"))
+    return documents.select("file", read.alias("_d")).select("file", "_d.*")
+
+
+def detect_documents(documents: DataFrame) -> DataFrame:
+    """Format and number of examples of `.json` documents (file, content), without a shuffle."""
+    return described(document_heads(documents))
 
 
 # --- listing and counting ---------------------------------------------------

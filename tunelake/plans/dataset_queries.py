@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, naming
 from ..operators import catalog, ordered
-from ..sources import files, registry as registry_io
+from ..sources import arrays, files, registry as registry_io
 from .inputs import load, table, with_inputs
 from .named import named
 from .session import scratch
@@ -143,10 +143,32 @@ SHAPE = """CASE WHEN NOT json_valid(content) THEN 'lines' WHEN json_type(content
 )
 def json_fallback(spark, sf):
     docs = load(spark, sf, "dataset_documents").select("file", "content")
-    counted = catalog.document_records(docs).filter(F.col("record").rlike(r"\S"))
-    shapes = counted.groupBy("file", "shape").agg(F.count(F.lit(1)).alias("examples"))
-    found = catalog.detect_documents(docs).select("file", "format")
-    return shapes.join(found, "file").select("file", "shape", "examples", "format")
+    found = catalog.classify(catalog.document_heads(docs))
+    return found.select("file", "shape", "examples", "format")
+
+
+@named(
+    "split_arrays",
+    with_inputs(
+        f"""SELECT dataset, 'array' AS shape, count(*) AS examples, CAST(sum(len(json_keys(record))) AS BIGINT) AS n_keys,
+        CAST(sum(length(coalesce(record ->> '$.output', record ->> '$.text', ''))) AS BIGINT) AS chars,
+        count({format_sql('record')}) AS recognised FROM raw_records GROUP BY dataset""",
+        "raw_records",
+    ),
+)
+def split_arrays(spark, sf):
+    """Write the records as array files, then read these in small chunks."""
+    out = scratch(spark, "arrays")
+    files.write_arrays(load(spark, sf, "raw_records").withColumn("block", ordered.block_of("pos", 2000)), out)
+    read = arrays.document_records(spark, out, "*.txt", recursive=True, size=1 << 14)
+    body = F.coalesce(F.get_json_object("record", "$.output"), F.get_json_object("record", "$.text"), F.lit(""))
+    seen = read.withColumn("dataset", F.regexp_extract("file", r"part=(.+)-\d+/", 1))
+    return seen.groupBy("dataset", "shape").agg(
+        F.count(F.lit(1)).alias("examples"),
+        F.sum(F.size(F.json_object_keys("record"))).alias("n_keys"),
+        F.sum(F.length(body)).alias("chars"),
+        F.count(detect.record_format(F.col("record"))).alias("recognised"),
+    )
 
 
 @named(

@@ -1,6 +1,6 @@
 """Text, JSON and file-manifest scans."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import base_name
@@ -91,3 +91,15 @@ def write_lines(rows: DataFrame, path: str, folder: str, text: str, order: str =
 def write_jsonl(records: DataFrame, path: str) -> None:
     """Raw records (dataset, block, pos, record) back to JSON lines, one folder per dataset."""
     write_lines(records, path, "dataset", "record")
+
+
+def write_arrays(records: DataFrame, path: str) -> None:
+    """Raw records (dataset, block, pos, record) as JSON-array files, one for each dataset and block."""
+    place = Window.partitionBy("dataset", "block")
+    number = F.row_number().over(place.orderBy("pos"))
+    opening = F.when(number == 1, F.lit("[")).otherwise(F.lit(","))
+    closing = F.when(number == F.count(F.lit(1)).over(place), F.lit("]")).otherwise(F.lit(""))
+    rows = records.select(
+        F.concat_ws("-", "dataset", "block").alias("part"), "block", "pos", F.concat(opening, "record", closing).alias("line")
+    )
+    write_lines(rows, path, "part", "line")
