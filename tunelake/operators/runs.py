@@ -36,8 +36,8 @@ def build_configs(sweep: DataFrame, data_dir: str = "data") -> DataFrame:
 
     `sweep` has run, model, template, dataset, epochs, method, the optional parameters
     lora_rank, lora_dropout, lora_alpha, learning_rate, param_epochs, batch_size, grad_accum,
-    cutoff_len, warmup_ratio, target_loss, and the probed bf16, fp16, workers, pin_memory; all
-    text, NULL where not given. All layers of a run lie in its own row, so the overlay is a
+    cutoff_len, warmup_ratio, target_loss, the probed bf16, fp16, workers, pin_memory, and
+    possibly the seed of the run's manifest; all text, NULL where not given. All layers of a run lie in its own row, so the overlay is a
     projection without a shuffle.
     """
     c = F.col
@@ -68,6 +68,8 @@ def build_configs(sweep: DataFrame, data_dir: str = "data") -> DataFrame:
         lora_alpha=F.when(lora & (c("lora_alpha").try_cast("double") > 0), c("lora_alpha")),
         lora_target=F.when(lora, F.lit(LORA_DEFAULTS["lora_target"])),
     )
+    if "seed" in sweep.columns:  # the seed that the run's manifest names
+        values["seed"] = c("seed")
     for key, value in TARGET_LOSS_STEPS.items():
         values[key] = F.when(targeted, F.lit(value)).otherwise(values[key])
 

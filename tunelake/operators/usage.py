@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sizes
+from ..functions import sizes, yaml
 from ..functions.constants import WORKSPACE_DIRS
 
 
@@ -54,14 +54,18 @@ def download_totals(files: DataFrame, unknown_zero: bool = True) -> DataFrame:
 
 
 def file_health(expected: DataFrame, documents: DataFrame) -> DataFrame:
-    """valid / corrupted / missing for each expected file (file, content of JSON documents)."""
+    """valid / corrupted / missing for each expected file.
+
+    `documents` holds (file, content): flat YAML where the name says so, else JSON.
+    """
     wrapped = F.from_json(
         F.concat(F.lit("["), F.col("content"), F.lit("]")),
         "array<string>",
         {"allowSingleQuotes": "false"},
     )
     ok = (F.size(wrapped) == 1) & F.try_parse_json("content").isNotNull()
-    seen = documents.select("file", F.coalesce(ok, F.lit(False)).alias("ok"))
+    ok = F.when(F.col("file").rlike(r"\.ya?ml$"), yaml.flat_valid(F.col("content"))).otherwise(F.coalesce(ok, F.lit(False)))
+    seen = documents.select("file", ok.alias("ok"))
     return expected.select("file").join(seen, "file", "left").select(
         "file",
         F.when(F.col("ok").isNull(), "missing").when(F.col("ok"), "valid").otherwise("corrupted").alias("status"),

@@ -168,7 +168,10 @@ INPUTS = {
         '# run manifest' || CHR(10) || '# ---' || CHR(10) || '#   command: quick_train' || CHR(10) || '#   cli_args.model: ' || p_brand || CHR(10)
         || '#   random_seed: ' || {text_of('p_partkey * 7')} || CHR(10)
         || 'bf16: true' || CHR(10) || 'dataset: ' || CHR(39) || p_name || CHR(39) || CHR(10) || 'empty: ' || CHR(10)
-        || 'cutoff_len: ' || {text_of('p_size')} || CHR(10) || 'output_dir: saves/run_' || {text_of('p_partkey')} || '/lora' || CHR(10) AS content
+        || 'cutoff_len: ' || {text_of('p_size')} || CHR(10) || 'output_dir: saves/run_' || {text_of('p_partkey')} || '/lora' || CHR(10)
+        || 'noted: ' || p_brand || '  # ' || p_type || CHR(10) || CHR(39) || 'quoted key' || CHR(39) || ': ' || p_brand || '#1' || CHR(10)
+        || 'folded: ' || p_name || CHR(10) || '  ' || p_type || CHR(10) || '  ' || p_brand || CHR(10)
+        || 'escaped: "' || p_brand || CHR(92) || 'n' || p_type || CHR(92) || 'u00e9 ' || CHR(92) || '"' || p_name || CHR(92) || '""' || CHR(10) AS content
         FROM part""",
     "sweep": f"""SELECT 'run_' || {text_of('p_partkey')} AS run, p_brand AS model, 'qwen3' AS template, p_name AS dataset, '3.0' AS epochs,
         CASE p_partkey % 3 WHEN 0 THEN 'freeze' ELSE 'lora' END AS method,
@@ -177,12 +180,19 @@ INPUTS = {
         CASE WHEN p_size % 6 = 0 THEN '1.0' END AS param_epochs, CASE WHEN p_size % 7 = 0 THEN '1' END AS batch_size,
         CAST(NULL AS STRING) AS grad_accum, CASE WHEN p_size % 5 = 0 THEN '1024' END AS cutoff_len, CAST(NULL AS STRING) AS warmup_ratio,
         CASE WHEN p_size % 9 = 0 THEN '0.5' END AS target_loss, 'false' AS bf16,
-        CASE WHEN p_size % 2 = 0 THEN 'true' END AS fp16, '8' AS workers, 'true' AS pin_memory FROM part""",
+        CASE WHEN p_size % 2 = 0 THEN 'true' END AS fp16, '8' AS workers, 'true' AS pin_memory,
+        {text_of('p_partkey * 7')} AS seed FROM part""",
     "states": f"""SELECT o_orderkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'org/model-' || {text_of('o_custkey')} END AS active_model,
         CAST(NULL AS STRING) AS active_adapter, CASE WHEN o_orderkey % 3 = 0 THEN 'llama3' END AS active_template,
         CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS active_dataset, CASE WHEN o_orderkey % 7 = 0 THEN 'light' END AS theme,
         CASE WHEN o_orderkey % 4 = 0 THEN '["run_' || {text_of('o_orderkey')} || '"]' END AS training_history
         FROM orders""",
+    # a state file per part: sound, with an open quote, with text behind a quote, or absent
+    "state_documents": f"""SELECT 'state_' || {text_of('p_partkey')} || '.yaml' AS file, CASE p_partkey % 4
+          WHEN 1 THEN 'active_model: "' || p_brand || CHR(10) || 'theme: dark' || CHR(10)
+          WHEN 2 THEN 'theme: ' || CHR(39) || p_type || CHR(39) || ' ' || p_brand || CHR(10)
+          ELSE '# state' || CHR(10) || 'active_model: ' || p_name || CHR(10) || '  ' || p_type || CHR(10) || 'theme: "' || p_brand || '" # set' || CHR(10) END AS content
+        FROM part WHERE p_partkey % 4 <> 3""",
     # usage ------------------------------------------------------------------
     "disk_files": f"""SELECT CASE {SOURCE_NO} % 5 WHEN 0 THEN 'data' WHEN 1 THEN 'yaml' WHEN 2 THEN 'saves' WHEN 3 THEN 'models' ELSE 'other' END AS directory,
         CASE WHEN doc_id % 20 = 0 THEN NULL ELSE n_chars * 1000 END AS length FROM documents""",

@@ -29,7 +29,13 @@ def history(spark, sf):
         """SELECT run, 'bf16' AS key, 'true' AS value FROM docs UNION ALL SELECT run, 'empty', NULL FROM docs
         UNION ALL SELECT run, 'dataset', regexp_extract(content, 'dataset: ''(.*)''', 1) FROM docs
         UNION ALL SELECT run, 'cutoff_len', regexp_extract(content, 'cutoff_len: (\\d+)', 1) FROM docs
-        UNION ALL SELECT run, 'output_dir', regexp_extract(content, 'output_dir: (\\S+)', 1) FROM docs""",
+        UNION ALL SELECT run, 'output_dir', regexp_extract(content, 'output_dir: (\\S+)', 1) FROM docs
+        UNION ALL SELECT run, 'noted', regexp_extract(content, 'noted: (.*)  #', 1) FROM docs
+        UNION ALL SELECT run, 'quoted key', regexp_extract(content, 'quoted key.: (.*)', 1) FROM docs
+        UNION ALL SELECT run, 'folded', regexp_extract(content, 'folded: (.*)', 1) || ' ' || regexp_extract(content, 'folded: .*\\n  (.*)', 1)
+          || ' ' || regexp_extract(content, 'folded: .*\\n  .*\\n  (.*)', 1) FROM docs
+        UNION ALL SELECT run, 'escaped', replace(replace(replace(regexp_extract(content, 'escaped: "(.*)"', 1),
+          CHR(92) || 'n', CHR(10)), CHR(92) || 'u00e9', 'é'), CHR(92) || '"', '"') FROM docs""",
         "config_documents",
     ).replace("config_documents AS", "docs AS"),
 )
@@ -102,7 +108,7 @@ DEFAULT_ROWS = {
     "lora_alpha": "CASE WHEN method = 'lora' AND lora_alpha <> '0' THEN lora_alpha END",
     "lora_target": "CASE WHEN method = 'lora' THEN 'all' END",
     "stage": "'sft'", "max_samples": "'10000'", "lr_scheduler_type": "'cosine'", "plot_loss": "'true'",
-    "overwrite_output_dir": "'true'", "report_to": "'none'", "trust_remote_code": "'true'", "do_train": "'true'",
+    "seed": "seed", "overwrite_output_dir": "'true'", "report_to": "'none'", "trust_remote_code": "'true'", "do_train": "'true'",
 }
 
 

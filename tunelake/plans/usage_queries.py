@@ -103,6 +103,21 @@ def registry_health(spark, sf):
     return usage.health_counts(health(spark, sf))
 
 
+@named(
+    "state_health",
+    with_inputs(
+        """SELECT 'state_' || p.p_partkey || '.yaml' AS file, CASE WHEN d.file IS NULL THEN 'missing'
+        WHEN d.content LIKE '# state%' THEN 'valid' ELSE 'corrupted' END AS status
+        FROM part p LEFT JOIN state_documents d ON d.file = 'state_' || p.p_partkey || '.yaml'""",
+        "state_documents",
+    ),
+)
+def state_health(spark, sf):
+    """Health of one YAML state file per part."""
+    name = F.concat(F.lit("state_"), F.col("p_partkey").cast("string"), F.lit(".yaml"))
+    return usage.file_health(table(spark, sf, "part").select(name.alias("file")), load(spark, sf, "state_documents"))
+
+
 @named(
     "error_kinds",
     with_inputs(

@@ -3,35 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.binding import bind
+from ..functions import yaml
 from ..functions.constants import HISTORY_FIELDS
 from ..functions.naming import base_name, stem
 from .files import read_documents
 
 MANIFEST_LINE = r"^#   ([^:]+): (.*)$"
-CONFIG_KEY = r"^([A-Za-z_][^:#]*):(?=\s|$)"
-
-
-def yaml_scalar(raw: Column) -> Column:
-    """Text of a flat YAML scalar: quotes off, null words to NULL."""
-    quoted = lambda q: (F.length(raw) >= 2) & raw.startswith(q) & raw.endswith(q)
-    inner = F.substr(raw, F.lit(2), F.length(raw) - 2)
-    return (
-        F.when(raw.isin("null", "Null", "NULL", "~", ""), F.lit(None))
-        .when(quoted("'"), F.replace(inner, F.lit("''"), F.lit("'")))
-        .when(quoted('"'), inner)
-        .otherwise(raw)
-    )
-
-
-def _entry(line: Column) -> Column:
-    """struct(key, value) of a `key: value` line; the key is empty for any other line."""
-
-    def split_at(key):
-        raw = F.trim(F.substr(line, F.length(key) + 2), F.lit(" \t"))
-        return F.struct(F.trim(key).alias("key"), bind(raw, yaml_scalar).alias("value"))
-
-    return bind(F.regexp_extract(line, CONFIG_KEY, 1), split_at)
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -42,11 +19,9 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def config_entries(documents: DataFrame) -> DataFrame:
-    """(…, key, value) rows of flat `key: value` documents; the comment header is ignored."""
+    """(…, key, value) rows of flat `key: value` documents; comments are ignored."""
     keep = [c for c in documents.columns if c != "content"]
-    entries = F.filter(
-        F.transform(F.split("content", r"\r\n|\r|\n"), _entry), lambda e: e["key"] != ""
-    )
+    entries = yaml.flat_entries(F.col("content"))
     return documents.select(*keep, F.inline_outer(entries)).filter(F.col("key").isNotNull())
 
 
@@ -85,13 +60,12 @@ def read_summaries(spark: SparkSession, path, recursive: bool = False) -> DataFr
 
 
 def document_fields(documents: DataFrame, keys: list[str]) -> DataFrame:
-    """The given keys of each flat document as columns; the last line of a key counts.
+    """The given keys of each flat document as columns; the last entry of a key counts.
 
-    A document is one row, so its fields need neither a row per line nor a shuffle.
+    A document is one row, so its fields need neither a row per entry nor a shuffle.
     """
     keep = [c for c in documents.columns if c != "content"]
-    entries = F.transform(F.split("content", r"\r\n|\r|\n"), _entry)
-    read = documents.select(*keep, entries.alias("_e"))
+    read = documents.select(*keep, yaml.flat_entries(F.col("content")).alias("_e"))
 
     def last(key):
         found = F.filter("_e", lambda e: e["key"] == key)
