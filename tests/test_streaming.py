@@ -3,6 +3,7 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,92 @@ def test_discovery(spark, tmp_path, whole):
     assert run() == [("a", "alpaca", 2), ("b", None, 3)]
     put("c", {"messages": []}, 4)
     assert run() == [("a", "alpaca", 2), ("b", None, 3), ("c", "sharegpt", 4)]
+
+
+@pytest.mark.parametrize("cell", [1, 4, 16])
+def test_monitor_of_one_hot_run(spark, tmp_path, cell):
+    """One run holds most lines; batches overlap and come out of order; cells are whole, partial or repeated."""
+    rng = random.Random(cell)
+    runs = {"hot": series(rng, 400), "cold": series(rng, 9)}
+    data = log_rows(runs)
+    cuts = [data[150:330], data[:100] + data[140:200], data[90:160] + data[320:]]
+    write_batches(tmp_path / "in", cuts)
+    lines = stream(spark, tmp_path / "in", "run string, line_no bigint, line string")
+    for limit in (0, 3):
+        with conf(spark, **ROCKSDB):
+            got = newest(drain(logs.monitor_stream(lines, 0.1, limit, cell=cell), spark, "update"), ["run"]).collect()
+        for r in got:
+            best, best_step, hit, stop, _ = model(runs[r["run"]], 0.1, limit)
+            assert (r["target_hit"], r["stop_step"], r["best_loss"], r["best_step"]) == (hit, stop, best, best_step)
+            assert r["line_no"] == len(runs[r["run"]]) - 1
+    assert len(got) == 2
+
+
+def test_summaries_compose():
+    rng = random.Random(11)
+    for _ in range(300):
+        n, limit = rng.randint(0, 40), rng.randint(0, 4)
+        lines = np.zeros(n, logs.LINE)
+        lines["at"] = np.arange(n)
+        lines["kind"] = [rng.choice([0, 1, 3, 3, 3, 7, 7, 8]) for _ in range(n)]
+        lines["loss"] = [rng.choice([0.1, 0.2, 0.3]) for _ in range(n)]
+        lines["total"] = [rng.randint(1, 9) for _ in range(n)]
+        whole = logs.advance(logs.Monitor(), logs.summarise(lines, limit), limit)
+        parts, start = logs.Monitor(), 0
+        while start < n:
+            end = rng.randint(start + 1, n)
+            parts = logs.advance(parts, logs.summarise(lines[start:end], limit), limit)
+            start = end
+        single = logs.Monitor()
+        for i in range(n):
+            single = logs.advance(single, logs.summarise(lines[i : i + 1], limit), limit)
+        assert whole == parts == single
+
+
+def progress_rows(query):
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
+
+
+def test_state_of_idle_runs_and_ended_answers_goes(spark, tmp_path):
+    data = log_rows({f"r{i}": [0.5, 0.4] for i in range(8)})
+    write_batches(tmp_path / "in", [data])
+    lines = stream(spark, tmp_path / "in", "run string, line_no bigint, line string")
+    tokens = [{"conv_id": i, "turn": 0, "seq": j, "token": "a", "last": j == 2} for i in range(6) for j in range(3)]
+    write_batches(tmp_path / "tokens", [tokens])
+    arriving = stream(spark, tmp_path / "tokens", "conv_id bigint, turn bigint, seq bigint, token string, last boolean")
+    with conf(spark, **ROCKSDB):
+        for name, made, folder, late in (
+            ("runs", logs.monitor_stream(lines, 0.1, 3, idle_ms=1), "in", log_rows({"new": [0.5]})),
+            ("answers", reasoning.visible_stream(arriving, forget_ms=1, idle_ms=1), "tokens", [{"conv_id": 99, "turn": 0, "seq": 0, "token": "b", "last": False}]),
+        ):
+            out = made.writeStream.option("checkpointLocation", str(tmp_path / f"{name}-state")).outputMode("update" if name == "runs" else "append")
+            keep = lambda batch, _: batch.collect()
+            query = out.foreachBatch(keep).trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            first = progress_rows(query)
+            (tmp_path / folder / "900.json").write_text("".join(json.dumps(r) + "\n" for r in late))
+            again = out.foreachBatch(keep).trigger(availableNow=True).start()
+            again.awaitTermination(120)
+            assert first >= 6 and progress_rows(again) <= 3, name
+
+
+def test_reasoning_with_repeats_and_overlaps(spark, tmp_path):
+    rng = random.Random(9)
+    batches, want = [[], [], [], []], {}
+    for conv in range(25):
+        text = random_text(rng) or "x"
+        cuts = [text[i : i + 2] for i in range(0, len(text), 2)]
+        rows = [{"conv_id": conv, "turn": 1, "seq": i, "token": t, "last": i == len(cuts) - 1} for i, t in enumerate(cuts)]
+        want[conv] = machine(text)
+        for batch in batches[:-1]:
+            a, b = sorted((rng.randint(0, len(rows)), rng.randint(0, len(rows))))
+            batch += rows[a:b]
+        batches[-1] += rows
+    write_batches(tmp_path / "in", batches)
+    tokens = stream(spark, tmp_path / "in", "conv_id bigint, turn bigint, seq bigint, token string, last boolean")
+    with conf(spark, **ROCKSDB):
+        rows = drain(reasoning.visible_stream(tokens), spark).orderBy("conv_id", "part").collect()
+    got = dict.fromkeys(want, "")
+    for r in rows:
+        got[r["conv_id"]] += r["text"]
+    assert got == want

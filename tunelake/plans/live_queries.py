@@ -11,7 +11,10 @@ from .inputs import INPUTS, load, table
 from .named import named
 from .session import conf, scratch
 
-ROCKSDB = {"spark__sql__streaming__stateStore__providerClass": logs.ROCKSDB}
+ROCKSDB = {
+    "spark__sql__streaming__stateStore__providerClass": logs.ROCKSDB,
+    "spark__sql__streaming__noDataMicroBatches__enabled": "false",
+}
 
 
 def stream_table(spark, sf, name):

@@ -2,11 +2,17 @@
 
 Streams are rows (run, block, line_no, line). Parsing is stateless and the newest metrics are
 a built-in aggregate, so the batch operators serve as they are; only the target-loss monitor
-depends on line order and keeps state of its own.
+depends on line order and keeps state of its own. Its lines are cut into cells of neighbouring
+line numbers, and whole cells are summarised by all tasks before they reach the state: what a
+stretch of lines does to the monitor takes a few numbers, whatever state it starts from.
 """
 
+import json
+from dataclasses import asdict, dataclass, replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,18 +23,25 @@ from ..operators import trainlog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Lines of a cell, and lines that a task holds while it sorts them into cells.
+CELL = 1024
+BUFFER = 200_000
+#: A run's state goes when no line of it has come for so long.
+IDLE_MS = 7 * 24 * 3600 * 1000
+
 STATE = (
-    "next_line bigint, last_line bigint, steps bigint, total_steps bigint, best_loss double, "
-    "best_step bigint, patience bigint, target_hit boolean, stop_step bigint, late_lines bigint, "
-    "early_lines bigint"
+    "cell bigint, last_line bigint, steps bigint, total_steps bigint, best_loss double, "
+    "best_step bigint, patience bigint, target_hit boolean, stop_step bigint, late_lines bigint"
 )
-PENDING = "is_metrics boolean, judged boolean, loss double, hit boolean, total_steps bigint"
+PENDING = "whole boolean, content binary"
+CELLS = "run string, cell bigint, n bigint, whole boolean, content binary"
 OUTPUT = (
     "run string, line_no bigint, steps bigint, total_steps bigint, best_loss double, "
     "best_step bigint, patience bigint, target_hit boolean, early_stopped boolean, "
     "stop_step bigint, late_lines bigint"
 )
-START = (0, -1, 0, None, None, None, 0, False, None, 0, 0)
+#: A line without its text; `kind` adds up 1 for metrics, 2 for a loss, 4 for a hit, 8 for a total.
+LINE = np.dtype([("at", "<i8"), ("kind", "u1"), ("loss", "<f8"), ("total", "<i8")])
 
 
 def metrics_stream(lines: DataFrame) -> DataFrame:
@@ -41,103 +54,226 @@ def latest_stream(lines: DataFrame) -> DataFrame:
     return trainlog.latest_metrics(lines)
 
 
-def monitor_processor(dense: bool, limit: int):
-    """Processor class of the target-loss monitor."""
+@dataclass(frozen=True)
+class Monitor:
+    """State of the target-loss monitor after some lines."""
+
+    steps: int = 0
+    total_steps: int | None = None
+    best_loss: float | None = None
+    best_step: int | None = None
+    patience: int = 0
+    target_hit: bool = False
+    stop_step: int | None = None
+
+
+def summarise(lines: np.ndarray, limit: int) -> dict:
+    """What a stretch of lines, in order, does to the monitor, whatever its state before.
+
+    Before the first hit only misses count, and only if there was a hit earlier: the first
+    limit + 1 of them are kept with their steps, one of which may be the stop. From the first
+    hit on, nothing depends on what was before.
+    """
+    kind = lines["kind"]
+    step = np.cumsum(kind & 1)
+    seen = np.maximum.accumulate(np.where(kind & 8, np.arange(len(lines)), -1)) if len(lines) else np.empty(0, int)
+    total = lambda i: int(lines["total"][seen[i]]) if seen[i] >= 0 else None
+    judged = np.flatnonzero(kind & 2)
+    hit = (kind[judged] & 4) > 0
+    first = int(hit.argmax()) if hit.any() else len(judged)
+    early = judged[:first][: limit + 1]
+    out = {
+        "steps": int(step[-1]) if len(lines) else 0, "total": total(-1) if len(lines) else None,
+        "misses": first, "miss_steps": step[early].tolist(), "miss_totals": [total(i) for i in early.tolist()],
+        "hit": first < len(judged),
+    }
+    if out["hit"]:
+        rest, hits = judged[first:], hit[first:]
+        number = np.arange(len(rest))
+        patience = number - np.maximum.accumulate(np.where(hits, number, 0))
+        over = np.flatnonzero(patience > limit)
+        end = int(over[0]) if len(over) else len(rest) - 1
+        good = rest[: end + 1][hits[: end + 1]]
+        best = good[int(lines["loss"][good].argmin())]
+        out |= {"best": float(lines["loss"][best]), "best_at": int(step[best]), "patience": int(patience[end])}
+        out |= {"stop_at": int(step[rest[end]]) if len(over) else None, "stop_total": total(rest[end])}
+    return out
+
+
+def advance(state: Monitor, part: dict, limit: int) -> Monitor:
+    """The state after a summarised stretch of lines."""
+    if state.stop_step is not None:
+        return state
+    steps, patience = state.steps, state.patience
+    newer = lambda total: state.total_steps if total is None else total
+    if state.target_hit:
+        last = limit - patience  # the miss, counted from 0, that is one too many
+        if last < part["misses"]:
+            stop = steps + part["miss_steps"][last]
+            return replace(state, steps=stop, stop_step=stop, patience=limit + 1, total_steps=newer(part["miss_totals"][last]))
+        patience += part["misses"]
+    if part["hit"]:
+        if state.best_loss is None or part["best"] < state.best_loss:
+            state = replace(state, best_loss=part["best"], best_step=steps + part["best_at"])
+        state, patience = replace(state, target_hit=True), part["patience"]
+        if part["stop_at"] is not None:
+            stop = steps + part["stop_at"]
+            return replace(state, steps=stop, stop_step=stop, patience=patience, total_steps=newer(part["stop_total"]))
+    return replace(state, steps=steps + part["steps"], patience=patience, total_steps=newer(part["total"]))
+
+
+def _in_order(lines: np.ndarray) -> np.ndarray:
+    """Lines by number, each number once (the first of several)."""
+    order = np.argsort(lines["at"], kind="stable")
+    lines = lines[order]
+    return lines[np.concatenate([[True], lines["at"][1:] != lines["at"][:-1]])] if len(lines) else lines
+
 
-    class Monitor(StatefulProcessor):
+def cells(lines: DataFrame, dense: bool, limit: int, cell: int = CELL) -> DataFrame:
+    """(run, cell, n, whole, content): whole cells as summaries, others as their lines.
+
+    Without dense numbers there are no whole cells.
+    """
+    schema = pa.schema([("run", pa.string()), ("cell", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("content", pa.binary())])
+
+    def flush(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        runs = table.column("run").combine_chunks().dictionary_encode()
+        flag = lambda name: table.column(name).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+        rows = np.zeros(len(table), LINE)
+        rows["at"] = table.column("line_no").to_numpy()
+        total = table.column("total_steps")
+        known = total.combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        rows["kind"] = flag("is_metrics") + 2 * flag("judged").astype(np.uint8) + 4 * flag("hit").astype(np.uint8) + 8 * known.astype(np.uint8)
+        rows["loss"] = table.column("loss").combine_chunks().fill_null(0).to_numpy()
+        rows["total"] = total.combine_chunks().fill_null(0).to_numpy()
+        codes = runs.indices.to_numpy()
+        order = np.lexsort((rows["loss"], rows["kind"], rows["at"], codes))  # of unequal lines of one number the same one counts always
+        rows, codes = rows[order], codes[order]
+        number = rows["at"] // cell
+        edges = np.flatnonzero((codes[1:] != codes[:-1]) | (number[1:] != number[:-1])) + 1
+        out = {name: [] for name in schema.names}
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+            own = _in_order(rows[start:end])
+            whole = dense and len(own) == cell
+            content = json.dumps(summarise(own, limit)).encode() if whole else own.tobytes()
+            for name, value in zip(schema.names, (runs.dictionary[int(codes[start])].as_py(), int(number[start]), len(own), whole, content), strict=True):
+                out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= BUFFER:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return lines.mapInArrow(run, CELLS)
+
+
+def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int | None = IDLE_MS):
+    """Processor class of the target-loss monitor, over the rows of `cells`."""
+
+    class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", STATE)
-            self.pending = handle.getMapState("pending", "line_no bigint", PENDING)
+            self.state = handle.getValueState("state", STATE, idle_ms)
+            self.pending = handle.getMapState("pending", "cell bigint", PENDING, idle_ms)
 
         def handleInputRows(self, key, rows, timer_values):
-            state = self.state.get() or START
-            next_line, last_line, steps, total, best, best_step = state[:6]
-            patience, hit_seen, stop, late, early = state[6:]
-            batch = pd.concat(list(rows), ignore_index=True)
-            held = [(k[0], *v) for k, v in self.pending.iterator()] if early else []
-            if held:
-                columns = ["line_no", "is_metrics", "judged", "loss", "hit", "total_steps"]
-                batch = pd.concat([batch[columns], pd.DataFrame(held, columns=columns)], ignore_index=True)
-            batch = batch.drop_duplicates("line_no").sort_values("line_no", ignore_index=True)
-
-            known = batch["line_no"].to_numpy() < (next_line if dense else last_line + 1)
-            late += int(known.sum())
-            batch = batch[~known].reset_index(drop=True)
-            at = batch["line_no"].to_numpy()
-            ready = int(np.searchsorted(at - np.arange(len(at)) > next_line, True)) if dense else len(at)
-            for row in batch.iloc[:ready].itertuples(index=False):
-                if stop is not None:
-                    break
-                if row.total_steps is not None and not pd.isna(row.total_steps):
-                    total = int(row.total_steps)
-                if not row.is_metrics:
-                    continue
-                steps += 1
-                if not row.judged:
-                    continue
-                if row.hit:
-                    if best is None or row.loss < best:
-                        best, best_step = float(row.loss), steps
-                    patience, hit_seen = 0, True
-                elif hit_seen:
-                    patience += 1
-                if hit_seen and patience > limit:
-                    stop = steps
-            if ready:
-                last_line = int(at[ready - 1])
-                next_line = last_line + 1
-            if early:
-                self.pending.clear()
+            known = self.state.get() or (0, -1, *asdict(Monitor()).values(), 0)
+            at, last_line, late = known[0], known[1], known[-1]
+            state = Monitor(*known[2:-1])
             if dense:
-                early = len(batch) - ready
-                for row in batch.iloc[ready:].itertuples(index=False):
-                    seen = None if pd.isna(row.total_steps) else int(row.total_steps)
-                    loss = None if row.loss is None else float(row.loss)
-                    self.pending.updateValue(
-                        (int(row.line_no),),
-                        (bool(row.is_metrics), bool(row.judged), loss, bool(row.hit), seen),
-                    )
-            self.state.update(
-                (next_line, last_line, steps, total, best, best_step, patience, hit_seen, stop, late, early)
-            )
+                late += self.take(rows, at, last_line)
+                while (found := self.waiting(at)) and found[0]:
+                    state = advance(state, json.loads(found[1]), limit)
+                    self.pending.removeKey((at,))
+                    at += 1
+                # of the cell that is not whole yet, the lines up to the first gap
+                begun = np.frombuffer(found[1], LINE) if found else np.empty(0, LINE)
+                ready = begun[: int((begun["at"] == at * cell + np.arange(len(begun))).sum())]
+                shown = advance(state, summarise(ready, limit), limit)
+                last_line = at * cell + len(ready) - 1
+            else:
+                parts = [np.frombuffer(x, LINE) for chunk in rows for x in chunk["content"]]
+                lines = _in_order(np.concatenate(parts))
+                late += int((lines["at"] <= last_line).sum())
+                lines = lines[lines["at"] > last_line]
+                state = shown = advance(state, summarise(lines, limit), limit)
+                last_line = int(lines["at"][-1]) if len(lines) else last_line
+            self.state.update((at, last_line, *asdict(state).values(), late))
             yield pd.DataFrame(
                 {
                     "run": [key[0]],
                     "line_no": [last_line],
-                    "steps": [steps],
-                    "total_steps": pd.array([total], dtype="Int64"),
-                    "best_loss": pd.array([best], dtype="Float64"),
-                    "best_step": pd.array([best_step], dtype="Int64"),
-                    "patience": [patience],
-                    "target_hit": [hit_seen],
-                    "early_stopped": [stop is not None],
-                    "stop_step": pd.array([stop], dtype="Int64"),
+                    "steps": [shown.steps],
+                    "total_steps": pd.array([shown.total_steps], dtype="Int64"),
+                    "best_loss": pd.array([shown.best_loss], dtype="Float64"),
+                    "best_step": pd.array([shown.best_step], dtype="Int64"),
+                    "patience": [shown.patience],
+                    "target_hit": [shown.target_hit],
+                    "early_stopped": [shown.stop_step is not None],
+                    "stop_step": pd.array([shown.stop_step], dtype="Int64"),
                     "late_lines": [late],
                 }
             )
 
+        def waiting(self, number: int):
+            """(whole, content) of a cell that waits, if it does."""
+            return self.pending.getValue((number,)) if self.pending.containsKey((number,)) else None
+
+        def take(self, rows, at: int, last_line: int) -> int:
+            """Add the cells of a batch to those that wait; how many of their lines were judged before."""
+            late = 0
+            for chunk in rows:
+                for number, n, whole, content in zip(chunk["cell"], chunk["n"], chunk["whole"], chunk["content"], strict=True):
+                    number = int(number)
+                    if number < at:
+                        late += int(n)
+                        continue
+                    found = self.waiting(number)
+                    if found and found[0]:
+                        continue
+                    if number == at and last_line >= at * cell:
+                        repeated = at * cell + np.arange(n) if whole else np.frombuffer(content, LINE)["at"]
+                        late += int((repeated <= last_line).sum())
+                    if found and not whole:
+                        lines = _in_order(np.concatenate([np.frombuffer(found[1], LINE), np.frombuffer(content, LINE)]))
+                        whole = len(lines) == cell
+                        content = json.dumps(summarise(lines, limit)).encode() if whole else lines.tobytes()
+                    self.pending.updateValue((number,), (bool(whole), content))
+            return late
+
         def close(self) -> None:
             pass
 
-    return Monitor
+    return Processor
 
 
 def monitor_stream(
-    lines: DataFrame, target: float, limit: int = PATIENCE_LIMIT, dense: bool = True
+    lines: DataFrame, target: float, limit: int = PATIENCE_LIMIT, dense: bool = True, cell: int = CELL,
+    idle_ms: int | None = IDLE_MS,
 ) -> DataFrame:
     """State and stop decision of each run after each micro-batch (update mode).
 
     With `dense` line numbers (0, 1, 2, …) early lines wait in state until the gap before them
-    is filled, so the order of arrival does not matter. Otherwise lines are ordered within a
-    batch, and one that comes after a later line was judged is counted in `late_lines`.
+    is filled, so the order of arrival does not matter; lines that come again are counted in
+    `late_lines`. Otherwise lines are ordered within a batch, and one that comes after a later
+    line was judged is counted there.
 
-    Only a few numbers per line reach Python. Bound a batch with `maxFilesPerTrigger` or
-    `maxOffsetsPerTrigger`: the lines of one run in one batch are sorted together.
-    Needs the RocksDB state store.
+    A run's lines are shuffled by cell, so its summaries are made by many tasks; the state
+    takes one row per cell and batch. A run that was idle for `idle_ms` leaves the state (None:
+    never); a line that comes later begins a new one. Lines without run or number are left
+    out. Needs the RocksDB state store, and with `idle_ms` and a trigger that is to end
+    `spark.sql.streaming.noDataMicroBatches.enabled` set to false.
     """
     line = F.col("line")
     loss = logline.parse_metrics(line)["loss"]
-    slim = lines.select(
+    slim = lines.filter("run IS NOT NULL AND line_no IS NOT NULL").select(
         "run",
         "line_no",
         logline.is_metrics(line).alias("is_metrics"),
@@ -148,6 +284,7 @@ def monitor_stream(
     )
     if not dense:
         slim = slim.filter(F.col("is_metrics") | F.col("total_steps").isNotNull())
-    return slim.groupBy("run").transformWithStateInPandas(
-        monitor_processor(dense, limit)(), OUTPUT, "Update", "none"
+    dealt = slim.repartition("run", F.floor(F.col("line_no") / cell))
+    return cells(dealt, dense, limit, cell).groupBy("run").transformWithStateInPandas(
+        monitor_processor(dense, limit, cell, idle_ms)(), OUTPUT, "Update", "none" if idle_ms is None else "ProcessingTime"
     )
