@@ -20,8 +20,10 @@ def plain_nearest(rows, queries, k):
     return out
 
 
-def test_nearest_and_recall(spark):
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nearest_and_recall(spark, seed):
+    """All queries lie in one of twenty clusters."""
+    rng = np.random.default_rng(seed)
     centres = rng.normal(size=(20, 16))
     rows = [(i, (centres[i % 20] + 0.3 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
     rows[40] = (40, rows[20][1])  # equal vectors

@@ -5,7 +5,8 @@ length. Centroids are fitted on a bounded sample, with a penalty on large cluste
 goes to its nearest centroid's list and, near a border, to further ones (a centroid that lies
 closer to a chosen one than to the vector adds nothing and is left out). Centroids sit in a
 nearest-neighbour graph in memory; a query walks it and takes all lists whose distance is at
-most a ratio times the nearest one. The ratio is fitted on the sample to a target recall.
+most a ratio times the nearest one. The ratio is fitted to a target recall, for a sample of the
+queries that are asked. Samples are chosen and ordered by hash, so rows may come in any order.
 
 Lists are cut into blocks of bounded rows, queries of a list likewise; a join by list pairs
 blocks, and each pair gives the best ids of each of its queries. So a list or a query that
@@ -32,6 +33,9 @@ TARGET = 0.975
 BORDER = 1.10
 COPIES = 3
 NEIGHBOURS = 16
+#: Lists that a walk over the graph keeps in view, at least, and queries that the ratio is fitted on, about.
+WIDTH = 48
+FITTED = 400
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -63,7 +67,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids, their graph and the pruning ratio; small, and sent to every task."""
 
-    def __init__(self, sample: np.ndarray, longest: float, lists: int, k: int, target: float = TARGET, seed: int = 0):
+    def __init__(
+        self, sample: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, longest: float, lists: int,
+        k: int, target: float = TARGET, seed: int = 0,
+    ):
+        """`asked` are queries like those to come; their own ids are none of their neighbours."""
         self.longest = longest
         points = self.stored_form(sample)
         self.centroids = self._cluster(points, lists, np.random.default_rng(seed))
@@ -72,8 +80,18 @@ class Index:
         ring = (np.arange(lists) + 1) % lists
         self.graph = [np.unique(np.append(r, n)) for r, n in zip(ranked, ring, strict=True)]
         self.between = near
-        self.start = int(near.sum(axis=1).argmin())
-        self.ratio = self._fit_ratio(sample, points, k, target)
+        self.entries = self._spread(near)
+        self.ratio = self._fit_ratio(sample, ids, points, asked, asked_ids, k, target)
+
+    @staticmethod
+    def _spread(near: np.ndarray) -> np.ndarray:
+        """Entry points of a walk: about the root of the number of lists, each far from those before."""
+        chosen = [int(near.sum(axis=1).argmin())]
+        least = near[chosen[0]].copy()
+        while len(chosen) < np.sqrt(len(near)):
+            chosen.append(int(least.argmax()))
+            least = np.minimum(least, near[chosen[-1]])
+        return np.unique(chosen)
 
     def stored_form(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
@@ -121,13 +139,16 @@ class Index:
     def walk(self, query: np.ndarray, ratio: float):
         """(distance, list) of the lists within the ratio, nearest first, by a walk over the graph."""
         far = lambda nodes: np.sqrt(((self.centroids[nodes] - query) ** 2).sum(1))
-        first = float(far([self.start])[0])
         seen = np.zeros(len(self.centroids), bool)
-        seen[self.start] = True
-        waiting, found, best = [(first, self.start)], [], first
-        while waiting and waiting[0][0] <= ratio * best * 1.05:
+        seen[self.entries] = True
+        waiting = list(zip(far(self.entries).tolist(), self.entries.tolist(), strict=True))
+        heapq.heapify(waiting)
+        found, best = [], waiting[0][0]
+        view: list[float] = []  # distances, negated, of the WIDTH nearest so far: the farthest on top
+        while waiting and (len(view) < WIDTH or waiting[0][0] <= max(-view[0], ratio * best * 1.05)):
             distance, node = heapq.heappop(waiting)
             found.append((distance, node))
+            (heapq.heappush if len(view) < WIDTH else heapq.heappushpop)(view, -distance)
             fresh = self.graph[node][~seen[self.graph[node]]]
             seen[fresh] = True
             for d, n in zip(far(fresh).tolist(), fresh.tolist(), strict=True):
@@ -143,11 +164,12 @@ class Index:
             chosen = chosen[: int(np.searchsorted(np.cumsum(sizes[chosen]), k, "right")) + 1]
         return chosen
 
-    def _fit_ratio(self, sample, points, k, target):
-        queries = sample[:200]
+    def _fit_ratio(self, sample, ids, points, queries, query_ids, k, target):
+        if not len(queries):
+            return 1.0
         scores = queries @ sample.T
-        scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-        top = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
+        scores[query_ids[:, None] == ids[None, :]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
         if not top.size:
             return 1.0
         distance = _distances(self.query_form(queries, self.longest), self.centroids)
@@ -170,6 +192,18 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     )
 
 
+def _sampled(rows: DataFrame, size: int, total: int):
+    """vec_id and vector of about `size` of `total` rows, chosen and ordered by hash; one row at least if there is any."""
+    h = F.xxhash64("vec_id", "vector")
+    share = int((1 << 31) * min(1.0, size / max(1, total)))
+    held = rows.select("vec_id", "vector", h.alias("h"))
+    picked = held.filter(F.pmod("h", F.lit(1 << 31)) < share).toArrow()
+    picked = (picked if len(picked) else held.orderBy("h").limit(1).toArrow()).combine_chunks().sort_by("h")
+    if not len(picked):
+        return np.empty(0, np.int64), np.empty((0, 0))
+    return picked.column("vec_id").to_numpy(), _matrix(picked.column("vector").combine_chunks())
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding",
     list_size: int = LIST, sample: int = SAMPLE, target: float = TARGET,
@@ -180,7 +214,8 @@ def nearest(
     products of the original vectors in double precision, ties go to the smaller vec_id. Rows
     that `usable` leaves out take no part on either side. Repeated vec_ids count as one
     candidate (the best of its rows), and as one query. Every row is indexed; the fit uses
-    about `sample` rows, chosen by a hash of id and vector. Other columns are ignored.
+    about `sample` rows, chosen by a hash of id and vector. An empty table of vectors or of
+    queries gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     base = stored(usable(vectors, id_column, column).distinct(), "vectors")
@@ -190,11 +225,9 @@ def nearest(
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    share = int((1 << 31) * min(1.0, sample / total))
-    picked = base.filter(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 31)) < share).select("vector").toArrow()
-    points = _matrix((picked if len(picked) else base.limit(1).select("vector").toArrow()).column("vector").combine_chunks())
+    ids, points = _sampled(base, sample, total)
     lists = int(np.clip(round(total / list_size), 1, max(1, len(points) // 8)))
-    index = Index(points, float(np.sqrt(longest)), lists, k, target)
+    index = Index(points, ids, *_sampled(asked, FITTED, asked.count())[::-1], float(np.sqrt(longest)), lists, k, target)
 
     placed_schema = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("own", pa.bool_())])
 
