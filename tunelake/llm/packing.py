@@ -32,6 +32,9 @@ TABLE_WORDS = 600_000
 _PLAIN = re.compile("[!-&(-~\xa1-\xac\xae-\xff]+")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: What sends a text's chunks through the tokenizer's own rules: other characters than blanks and plain ones.
+_ODD = re.compile("[^ \t\n\r!-&(-~\xa1-\xac\xae-\xff]|<[|]")
+_PLAIN_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS} \t\n\r]+")
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 
@@ -73,10 +76,22 @@ class WordEncoder:
         return [next(rest) if w is None else b"".join(map(code, w)) for w in words]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        chunks = [_split(text) for text in texts]
+        """Ids of the texts, each with the end id. Texts of plain characters are cut into words at once."""
+        end = np.array(end_id, self.dtype).tobytes()
+        out = [end] * len(texts)
+        odd = [i for i, text in enumerate(texts) if _ODD.search(text)]
+        chunks = [_split(texts[i]) for i in odd]
         self.table.learn(chain.from_iterable(chunks))
-        code, end = self.table.__getitem__, np.array(end_id, self.dtype).tobytes()
-        return [b"".join(map(code, c)) + end for c in chunks]
+        code = self.table.__getitem__
+        for i, c in zip(odd, chunks, strict=True):
+            out[i] = b"".join(map(code, c)) + end
+        plain = sorted(set(range(len(texts))) - set(odd))
+        words = [_PLAIN_WORD.findall(texts[i].lower()) for i in plain]
+        self.words.learn(chain.from_iterable(words))
+        code = self.words.__getitem__
+        for i, w in zip(plain, words, strict=True):
+            out[i] = b"".join(map(code, w)) + end
+        return out
 
 
 def _split(text: str) -> list[str]:
