@@ -151,20 +151,45 @@ def smaller_neighbours(position: np.ndarray):
     return before(position), n - 1 - before(position[::-1])[::-1]
 
 
+def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes, compared by their first `length` bytes; equal windows have equal ranks.
+
+    Ranks by 8 bytes are doubled until the next step would be too long; two overlapping
+    windows then make up the length. Only integers are sorted, a few per byte.
+    """
+
+    def ranked(keys):
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+    def paired(rank, shift):
+        behind = np.zeros(len(rank), np.int64)
+        behind[: max(0, len(rank) - shift)] = rank[shift:] + 1
+        return ranked(rank * (int(rank.max(initial=0)) + 2) + behind)
+
+    step = 1
+    rank = data.astype(np.int64)
+    if length >= 8:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        keys = np.zeros(len(data), np.uint64)
+        for i in range(8):
+            keys = (keys << np.uint64(8)) | padded[i : i + len(data)]
+        rank, step = ranked(keys), 8
+    while 2 * step <= length:
+        rank, step = paired(rank, step), 2 * step
+    return paired(rank, length - step) if step < length else rank
+
+
 def matches(data: np.ndarray, starts: np.ndarray, position: np.ndarray, length: int):
     """Which of the windows that begin at `starts` occur at a smaller, and at a larger position.
 
-    `position` orders the windows in the text (all different). The windows are sorted by their
-    bytes, as in a suffix array cut at `length`; a window's longest previous factor is its
+    `position` orders the windows in the text (all different). The windows are in suffix
+    order, as in a suffix array cut at `length`; a window's longest previous factor is its
     match with the previous or the next smaller position in that order, and reaches `length`
     where one of the two is an equal window.
     """
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
-    keys = np.ascontiguousarray(windows).view(f"V{length}").ravel()
-    order = np.argsort(keys.view(f"S{length}"), kind="stable")
-    sorted_ = windows[order]
-    same = (sorted_[1:] == sorted_[:-1]).all(axis=1)
-    group = np.concatenate([[0], np.cumsum(~same)])
+    rank = window_ranks(data, length)[starts]
+    order = np.argsort(rank, kind="stable")
+    group = rank[order]
     outside = np.append(group, -1)  # index -1 and n: no neighbour
 
     def reaches(ranks):
