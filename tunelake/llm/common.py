@@ -57,6 +57,7 @@ def row_key() -> Column:
 def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id and row_key are in `kept`, each once, with all columns.
 
+    Of rows that differ in other columns alone the one of the least hash over all stays.
     The join is by row_key alone, and ids are compared beside it, so that the count of equal
     rows needs no further shuffle of the texts.
     """
@@ -65,7 +66,8 @@ def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     same = rows["_row_key"] == wanted["_row_key"]
     ids = (rows["doc_id"] == wanted["_doc_id"]) | (rows["doc_id"].isNull() & wanted["_doc_id"].isNull())
     found = rows.join(wanted, same & ids, "left_semi")
-    copies = Window.partitionBy("_row_key", "doc_id").orderBy(F.lit(0))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    copies = Window.partitionBy("_row_key", "doc_id").orderBy(F.xxhash64(*hashed))
     return found.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(docs.columns)
 
 

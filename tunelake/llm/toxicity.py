@@ -293,8 +293,9 @@ class Detector:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     """Learn from the labelled rows that are not held out, `sample` of them at most.
 
-    Rows are chosen by a hash of doc_id. Labels other than 0 and 1 are not used, neither are
-    doc_ids with contradicting labels.
+    Rows are chosen by a hash of doc_id; equal rows count once, and where a doc_id has several
+    texts a hash of both decides. Labels other than 0 and 1 are not used, neither are doc_ids
+    with contradicting labels.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -304,9 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     chosen = stored(known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        .join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+        .join(chosen, "doc_id").select("doc_id", "text", "toxic").distinct()
+        .orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
     )
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[:sample]
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     return Detector([r.text for r in rows], [r.toxic for r in rows])
 
 
