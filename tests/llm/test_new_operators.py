@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunelake.llm import negatives, quality, spelling
+from tunelake.llm import negatives, passages, quality, spelling
+from tunelake.llm.chunks import ChunkTable
 
 
 def _good(rng, n):
@@ -215,3 +216,31 @@ def test_index_loses_no_pair():
     for a in anchor.tolist():
         by[a] += 1
     assert set(by.values()) == {400}
+
+
+def test_suffix_ranks_find_equal_windows():
+    rng = np.random.default_rng(0)
+    for trial in range(60):
+        length = int(rng.integers(1, 30))
+        data = rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(length, 200))).astype(np.uint8)
+        windows = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+        ranks = passages.window_ranks(data, length)[: len(windows)]
+        assert [w for _, w in sorted(zip(ranks.tolist(), windows, strict=True))] == sorted(windows)
+        position = rng.permutation(len(windows))
+        earlier, later = passages.matches(data, np.arange(len(windows)), position, length)
+        for i, w in enumerate(windows):
+            others = [position[j] for j, x in enumerate(windows) if x == w and j != i]
+            assert earlier[i] == any(p < position[i] for p in others) and later[i] == any(p > position[i] for p in others)
+
+
+def test_chunk_table_keeps_what_is_met_again():
+    asked = []
+    table = ChunkTable(lambda chunks: [asked.append(c) or c.upper() for c in chunks], 100)
+    for i in range(400):
+        table.learn(["often", f"rare {i}"])
+        assert table["often"] == "OFTEN" and table[f"rare {i}"] == f"RARE {i}"
+        assert len(table) + len(table.older) <= 110
+    assert asked.count("often") == 1 and len(asked) == 401
+    table.learn(["x" * 5000])
+    table.learn(["y"])
+    assert len(table) == 1

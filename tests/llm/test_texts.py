@@ -203,8 +203,9 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     near = texts[3].split()
     near[20] = "changed"
     texts += [texts[5], "  ".join(texts[6].split(" ")), " ".join(near), None]
-    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(i, t, "en", "s", len(t or ""), True, 7, "f", 1, "k") for i, t in enumerate(texts)]
+    extra = "kept boolean, n_bytes int, fp string, bucket int, row_key string"  # names that operators use themselves
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = []
