@@ -42,9 +42,12 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Characters cut in two are dropped and n_chars is counted again. A document of which
     nothing is left stays, with an empty text.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = passages.remove_passages(docs, PASSAGE_BYTES, first=True, as_text=True, carry=others)
-    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    # other columns travel under names that clash with none of the result's
+    names = {c: f"_carried_{i}" for i, c in enumerate(others)}
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()])
+    cut = passages.remove_passages(rows, PASSAGE_BYTES, first=True, as_text=True, carry=tuple(names.values()))
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long"), **{c: F.col(n) for c, n in names.items()}}
     return cut.select([columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
