@@ -165,10 +165,8 @@ def detect_documents(documents: DataFrame) -> DataFrame:
 def drop_stale(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry rows whose file exists, plus the hub rows that have no file."""
     has_file = F.coalesce(F.col("file_name"), F.lit("")) != ""
-    present = files.select("file_name").distinct()
-    return registry.filter(has_file).join(present, "file_name", "left_semi").unionByName(
-        registry.filter(~has_file)
-    ).select(*registry.columns)
+    present = files.select("file_name", F.lit(True).alias("_present")).distinct()
+    return registry.join(present, "file_name", "left").filter(~has_file | F.col("_present")).select(*registry.columns)
 
 
 def registered_listing(registry: DataFrame, source: str = "registered") -> DataFrame:
@@ -218,10 +216,10 @@ def list_datasets(
     """The dataset listing with counts, in name order.
 
     Stale registry rows go, registered names win over discovered ones. The detection result,
-    one row per file, is used twice: it is written out once so that the records are scanned
-    once.
+    one row per file, is used twice: it is kept when it is first computed, so that the records
+    are scanned once.
     """
-    detected = ordered.cut_lineage(detected)
+    detected = detected.persist()
     kept = drop_stale(registry, detected if files is None else files)
     linked = detected.groupBy("file_name").agg(F.max("examples").alias("linked"))
     registered = (
@@ -252,7 +250,7 @@ def list_datasets(
 
 def list_demo_datasets(detected: DataFrame, registry: DataFrame) -> DataFrame:
     """Listing of a bundled folder: no stale pass, counts from the folder's own files only."""
-    detected = ordered.cut_lineage(detected)
+    detected = detected.persist()  # one row per file
     listing = union_listing(
         registered_listing(registry, "demo"), discovered_listing(detected, "demo")
     )

@@ -8,11 +8,11 @@ then added. Detail rows are shuffled once, by (key, block).
 Keys must not be NULL, and the order must be unique within a key.
 """
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
+
 BLOCK_ROWS = 1 << 20
 
 
@@ -93,15 +93,9 @@ def first_n(df: DataFrame, keys, order, block: str, n: int, last: bool = False)
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and read on from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tunelake-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

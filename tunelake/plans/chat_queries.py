@@ -31,6 +31,12 @@ def cut_tokens(rows, with_last=False):
     )
 
 
+#: Small blocks and parts, so that keys of these tables have several of them.
+BLOCK = 1000
+PART_TOKENS = 8
+PART_TURNS = 2
+
+
 def tokens(spark, sf):
     return cut_tokens(load(spark, sf, "answers"))
 
@@ -60,9 +66,16 @@ def visible_turns(spark, sf):
     return chat.clean_turns(load(spark, sf, "answers"))
 
 
-@named("assembled_answers", with_inputs("SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, text FROM answers", "answers"))
+@named(
+    "assembled_answers",
+    with_inputs(
+        f"""SELECT conv_id, turn, p AS part, substr(text, CAST(p * {PART_TOKENS * CHUNK} + 1 AS BIGINT), {PART_TOKENS * CHUNK}) AS text
+        FROM (SELECT *, unnest(range(CAST((greatest(length(text), 1) - 1) // {PART_TOKENS * CHUNK} + 1 AS BIGINT))) AS p FROM answers) a""",
+        "answers",
+    ),
+)
 def assembled_answers(spark, sf):
-    return chat.assemble(tokens(spark, sf))
+    return chat.assemble(tokens(spark, sf), PART_TOKENS)
 
 
 @named(
@@ -77,13 +90,26 @@ def visible_answers(spark, sf):
     return chat.visible_answers(tokens(spark, sf))
 
 
+@named(
+    "visible_parts",
+    with_inputs(
+        f"""SELECT conv_id, turn, translate({STRIPPED}, 'ĊĠ', CHR(10) || ' ') AS text FROM answers WHERE text <> ''""", "answers"
+    ),
+)
+def visible_parts(spark, sf):
+    """Answers whose blocks span many small parts, put together again."""
+    parts = chat.visible_answers(tokens(spark, sf), PART_TOKENS)
+    texts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy("conv_id", "turn").agg(F.array_join(F.transform(texts, lambda p: p["text"]), "").alias("text"))
+
+
 @named(
     "transcripts",
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n, string_agg(role || ': ' || text, CHR(10) ORDER BY turn) AS transcript
-    FROM conversations GROUP BY conv_id""",
+    f"""SELECT conv_id, CAST(turn // {PART_TURNS} AS BIGINT) AS part, count(*) AS n,
+    string_agg(role || ': ' || text, CHR(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1, 2""",
 )
 def transcripts(spark, sf):
-    rows = chat.transcripts(table(spark, sf, "conversations"))
+    rows = chat.transcripts(table(spark, sf, "conversations"), part_turns=PART_TURNS)
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return rows.select(
         "conv_id", "part", F.size("messages").cast("bigint").alias("n"), F.array_join(lines, "\n").alias("transcript")
@@ -101,7 +127,7 @@ SESSIONS = """typed AS (SELECT user_id, seq, trim(text) AS text FROM commands),
     + f", {SESSIONS} SELECT user_id, session, seq, text FROM marked WHERE text NOT IN ('/clear', '/quit', '/exit')",
 )
 def chat_sessions(spark, sf):
-    rows = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq"))
+    rows = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq", BLOCK))
     return chat.sessions(rows).select("user_id", "session", "seq", "text")
 
 
@@ -114,6 +140,6 @@ def chat_sessions(spark, sf):
 )
 def prompt_contexts(spark, sf):
     """What goes with each message of the sessions."""
-    commands = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq"))
+    commands = load(spark, sf, "commands").withColumn("block", ordered.block_of("seq", BLOCK))
     turns = chat.sessions(commands).withColumnRenamed("seq", "turn").withColumn("role", F.lit("user"))
     return chat.prompt_contexts(turns, ["user_id", "session"])

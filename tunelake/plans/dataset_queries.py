@@ -47,8 +47,8 @@ def detected_sql(body):
 
 
 # --- shared frames ----------------------------------------------------------
-def raw_records(spark, sf):
-    return load(spark, sf, "raw_records").withColumn("block", ordered.block_of("pos"))
+def raw_records(spark, sf, rows=ordered.BLOCK_ROWS):
+    return load(spark, sf, "raw_records").withColumn("block", ordered.block_of("pos", rows))
 
 
 def registry_frame(spark, sf, name="registry"):
@@ -439,7 +439,7 @@ CAP = 7
     ),
 )
 def sample_cap(spark, sf):
-    rows = raw_records(spark, sf).select("dataset", "block", "pos")
+    rows = raw_records(spark, sf, 100).select("dataset", "block", "pos")
     return catalog.sample_cap(rows, CAP).select("dataset", "pos")
 
 

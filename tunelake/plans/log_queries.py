@@ -55,8 +55,12 @@ def plain_sql(name):
     return f"CASE WHEN NOT isnan({name}) THEN {name} END AS {name}, coalesce(isnan({name}), false) AS {name}_nan"
 
 
+#: Lines of a block: small, so that these tables have many blocks and their totals are carried on.
+BLOCK = 1000
+
+
 def log_lines(spark, sf):
-    return load(spark, sf, "log_lines").withColumn("block", ordered.block_of("line_no"))
+    return load(spark, sf, "log_lines").withColumn("block", ordered.block_of("line_no", BLOCK))
 
 
 def judged(spark, sf):

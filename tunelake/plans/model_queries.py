@@ -191,15 +191,19 @@ def found_adapters(spark, sf):
     return inventory.adapters(load(spark, sf, "adapter_configs"))
 
 
+#: Paths of a row: few, so that base models have several rows.
+PATHS = 50
+
+
 @named(
     "adapters_by_base",
     with_inputs("", "adapter_configs").rstrip()
     + f""", {ADAPTERS} SELECT base_model, part, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM (
-      SELECT *, CAST(floor((row_number() OVER (PARTITION BY base_model ORDER BY path) - 1) / {inventory.PATHS_PER_ROW}) AS BIGINT) AS part
+      SELECT *, CAST(floor((row_number() OVER (PARTITION BY base_model ORDER BY path) - 1) / {PATHS}) AS BIGINT) AS part
       FROM adapters) a GROUP BY base_model, part""",
 )
 def adapters_by_base(spark, sf):
-    rows = inventory.adapters_by_base(found_adapters(spark, sf))
+    rows = inventory.adapters_by_base(found_adapters(spark, sf), PATHS)
     return rows.select(
         "base_model", "part", F.size("paths").cast("bigint").alias("n"), F.array_join("paths", ",").alias("paths")
     )

@@ -7,7 +7,7 @@ from ..functions.constants import CONFIG_DEFAULTS, HISTORY_FIELDS, STATE_DEFAULT
 from ..operators import ordered, runs, trainlog
 from ..sources import configs
 from .inputs import load, table, with_inputs
-from .log_queries import LIMIT, PARSED, TARGET
+from .log_queries import LIMIT, PARSED, TARGET, log_lines
 from .named import named
 
 HISTORY = """history AS (SELECT seq, run AS name, run AS output_name, model, 'saves/' || run || '/lora' AS adapter, template, dataset, stage, epochs,
@@ -340,7 +340,7 @@ def run_reconciliation(spark, sf):
     FROM history h LEFT JOIN counted c ON h.name = c.run LEFT JOIN outcome o ON h.name = o.run""",
 )
 def run_summary(spark, sf):
-    lines = load(spark, sf, "log_lines").withColumn("block", ordered.block_of("line_no"))
+    lines = log_lines(spark, sf)
     outcome = trainlog.outcomes(trainlog.monitor(lines, TARGET, LIMIT))
     rows = runs.run_summary(history(spark, sf), trainlog.counters(lines), outcome)
     for c in ("first_loss", "last_loss"):

@@ -1,20 +1,16 @@
 """Session helpers."""
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from ..sources.shared import shared_root
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared checkpoint folder (a temporary one in local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tunelake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
