@@ -9,7 +9,8 @@ most a ratio times the nearest one. The ratio is fitted to a target recall, for
 queries that are asked. Samples are chosen and ordered by hash, so rows may come in any order.
 
 Lists are cut into blocks of bounded rows, queries of a list likewise; a join by list pairs
-blocks, and each pair gives the best ids of each of its queries. So a list or a query that
+blocks, and each pair gives the best ids of each of its queries. A query's nearest list is
+searched first; from the others come only rows that are no worse than its k-th best there. So a list or a query that
 many rows share is spread over tasks. Rows that repeat an id and its vector are merged before.
 """
 
@@ -179,15 +180,15 @@ class Index:
         return float(np.quantile(needed, target))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows of (list, id, vector) as blocks of about `size` rows of one list."""
+def _blocks(rows: DataFrame, size: int, name: str, *more: str) -> DataFrame:
+    """Rows of (list, id, vector and more) as blocks of about `size` rows of one list."""
     counts = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / size)
     return (
         rows.join(counts, "list")
         .withColumn("block", F.pmod(F.xxhash64("id", "vector"), parts))
         .groupBy("list", "block")
-        .agg(F.collect_list(F.struct("id", "vector")).alias(name))
+        .agg(F.collect_list(F.struct("id", "vector", *more)).alias(name))
         .drop("block")
     )
 
@@ -262,7 +263,6 @@ def nearest(
 
     probes = asked.mapInArrow(ask, "list int, id long, vector array<double>, own boolean")
     stored_blocks = _blocks(placed.drop("own"), BLOCK, "stored")
-    asked_blocks = _blocks(probes.drop("own"), QUERY_BLOCK, "asked")
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def score(batches):
@@ -270,6 +270,7 @@ def nearest(
             for i in range(len(batch)):
                 base_ids, base_vectors = _block(batch.column("stored")[i].values)
                 ask_ids, ask_vectors = _block(batch.column("asked")[i].values)
+                bounds = np.nan_to_num(batch.column("asked")[i].values.field("bound").to_numpy(zero_copy_only=False), nan=-np.inf)
                 order = np.argsort(base_ids, kind="stable")
                 base_ids, base_vectors = base_ids[order], base_vectors[order]
                 firsts = np.flatnonzero(np.concatenate([[True], base_ids[1:] != base_ids[:-1]]))
@@ -279,6 +280,7 @@ def nearest(
                     row[base_ids == ask_ids[query]] = -np.inf
                     per_id = np.maximum.reduceat(row, firsts)
                     kth = np.partition(per_id, -k)[-k] if len(per_id) > k else -np.inf
+                    kth = max(kth, bounds[query])
                     slack = 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else 0
                     near = np.flatnonzero((row >= kth - slack) & (row > -np.inf))
                     exact = (base_vectors[near] * ask_vectors[query]).sum(axis=1)
@@ -289,11 +291,16 @@ def nearest(
                     [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=found_schema
                 )
 
-    found = (
-        stored_blocks.join(asked_blocks, "list").select("stored", "asked")
-        .mapInArrow(score, "query_id long, vec_id long, score double")
-        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    )
+    def scored(rows):
+        pairs = stored_blocks.join(_blocks(rows, QUERY_BLOCK, "asked", "bound"), "list").select("stored", "asked")
+        return pairs.mapInArrow(score, "query_id long, vec_id long, score double")
+
+    merged = lambda rows: rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    first = stored(scored(probes.filter("own").withColumn("bound", F.lit(None).cast("double"))), "first-lists")
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = merged(first).withColumn("place", F.row_number().over(place)).filter(F.col("place") == k)
+    bounds = kth.select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    found = merged(first.union(scored(probes.filter("NOT own").join(bounds, "id", "left"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
