@@ -91,7 +91,7 @@ def live_monitor(spark, sf):
     dense.repartition(8).write.parquet(folder)
     arriving = spark.readStream.schema(dense.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     stream = logs.monitor_stream(
-        arriving.withColumn("block", ordered.block_of("line_no")), log_queries.TARGET, log_queries.LIMIT
+        arriving.withColumn("block", ordered.block_of("line_no")), log_queries.TARGET, log_queries.LIMIT, idle_ms=logs.IDLE_MS
     )
     with conf(spark, **ROCKSDB):
         rows = drain(stream, spark, "update")
@@ -118,7 +118,7 @@ def live_visible_text(spark, sf):
     answers = stream_input(spark, sf, "answers", "conversations")
     tokens = chat_queries.cut_tokens(answers, with_last=True)
     with conf(spark, **ROCKSDB):
-        rows = drain(reasoning.visible_stream(tokens), spark)
+        rows = drain(reasoning.visible_stream(tokens, reasoning.FORGET_MS, reasoning.IDLE_MS), spark)
     joined = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), ""
     )

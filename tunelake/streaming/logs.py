@@ -26,7 +26,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Lines of a cell, and lines that a task holds while it sorts them into cells.
 CELL = 1024
 BUFFER = 200_000
-#: A run's state goes when no line of it has come for so long.
+#: A fitting `idle_ms` of the monitor: a week.
 IDLE_MS = 7 * 24 * 3600 * 1000
 
 STATE = (
@@ -175,7 +175,7 @@ def cells(lines: DataFrame, dense: bool, limit: int, cell: int = CELL) -> DataFr
     return lines.mapInArrow(run, CELLS)
 
 
-def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int | None = IDLE_MS):
+def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int | None = None):
     """Processor class of the target-loss monitor, over the rows of `cells`."""
 
     class Processor(StatefulProcessor):
@@ -256,7 +256,7 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
 
 def monitor_stream(
     lines: DataFrame, target: float, limit: int = PATIENCE_LIMIT, dense: bool = True, cell: int = CELL,
-    idle_ms: int | None = IDLE_MS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """State and stop decision of each run after each micro-batch (update mode).
 
@@ -268,7 +268,8 @@ def monitor_stream(
     A run's lines are shuffled by cell, so its summaries are made by many tasks; the state
     takes one row per cell and batch. A run that was idle for `idle_ms` leaves the state (None:
     never); a line that comes later begins a new one. Lines without run or number are left
-    out. Needs the RocksDB state store, and with `idle_ms` and a trigger that is to end
+    out. Needs the RocksDB state store. With `idle_ms`, Spark adds batches without data for its
+    timers, so a query triggered by `availableNow` ends only with
     `spark.sql.streaming.noDataMicroBatches.enabled` set to false.
     """
     line = F.col("line")

@@ -21,7 +21,7 @@ CHUNKS = "conv_id bigint, turn bigint, seq bigint, text string, ends array<int>,
 PENDING = "text string, ends array<int>, last boolean"
 #: Tokens that a task holds while it joins them.
 BUFFER = 200_000
-#: How long an answer that has ended is remembered, and one that got no more tokens.
+#: Fitting times to remember an answer that has ended, and to wait for the end of one.
 FORGET_MS = 3600 * 1000
 IDLE_MS = 24 * 3600 * 1000
 OUTPUT = "conv_id bigint, turn bigint, part bigint, text string"
@@ -86,7 +86,7 @@ def chunks(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, CHUNKS)
 
 
-def filter_processor(forget_ms: int | None = FORGET_MS, idle_ms: int | None = IDLE_MS):
+def filter_processor(forget_ms: int | None = None, idle_ms: int | None = None):
     """Processor class of the reasoning filter, over the rows of `chunks`."""
 
     class ReasoningFilter(StatefulProcessor):
@@ -146,7 +146,7 @@ def filter_processor(forget_ms: int | None = FORGET_MS, idle_ms: int | None = ID
     return ReasoningFilter
 
 
-def visible_stream(tokens: DataFrame, forget_ms: int | None = FORGET_MS, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def visible_stream(tokens: DataFrame, forget_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
     """Visible text of a token stream (conv_id, turn, seq, token, last), in append mode.
 
     `seq` counts 0, 1, 2, … within an answer; tokens that come early wait for the gap to fill,
@@ -156,7 +156,8 @@ def visible_stream(tokens: DataFrame, forget_ms: int | None = FORGET_MS, idle_ms
 
     An answer leaves the state with its last token; that it has ended is remembered for
     `forget_ms`, and one that stays without an end for `idle_ms` (None: for ever). Needs the
-    RocksDB state store, and with a trigger that is to end
+    RocksDB state store. With these times, Spark adds batches without data for its timers, so
+    a query triggered by `availableNow` ends only with
     `spark.sql.streaming.noDataMicroBatches.enabled` set to false.
     """
     slim = tokens.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND seq IS NOT NULL").select(
