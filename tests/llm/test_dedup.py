@@ -69,12 +69,41 @@ def test_exact_groups(docs, bits, capacity):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
-def test_directory_splits(spark):
+@pytest.mark.parametrize("capacity, max_depth", [(100, 8), (2, 20), (5000, 8)])
+def test_directory_splits(spark, capacity, max_depth):
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    slots = exact_dedup.directory(keys, 100, 8)
-    load = keys.withColumn("slot", F.shiftrightunsigned("h", 56)).join(slots, "slot").groupBy("depth", "bucket").count()
-    assert load.agg(F.max("count")).first()[0] <= 100
+    slots, depth = exact_dedup.directory(keys, capacity, max_depth)
+    assert sorted(r.slot for r in slots.collect()) == list(range(1 << depth))
+    placed = keys.withColumn("slot", exact_dedup._slot(F.col("h"), depth)).join(slots, "slot")
+    load = placed.groupBy("depth", "bucket").count()
+    assert load.agg(F.max("count")).first()[0] <= capacity
     assert load.agg(F.sum("count")).first()[0] == 1000
+    # no bucket was split without need: with its sibling's keys it would be overfull
+    pairs = load.filter("depth > 0").groupBy("depth", F.shiftright("bucket", 1).alias("parent")).agg(
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("of")
+    )
+    assert pairs.filter(f"of = 2 AND n <= {capacity}").count() == 0
+
+
+def test_directory_stops_at_its_finest(spark):
+    """Keys that no bit parts stay in one overfull bucket."""
+    slots, depth = exact_dedup.directory(spark.range(10).select(F.col("id").alias("h")), 2, 3)
+    assert depth == 3 and slots.count() == 8
+
+
+@pytest.mark.parametrize("bits", [64, 1])
+def test_index_chains(spark, bits):
+    """Copies in many partitions, hashes that collide: chains part texts by their bytes."""
+    rows = [(i, f"text {i % 7}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    hashing = lambda t: F.shiftleft(F.xxhash64(t), 64 - bits)
+    index = exact_dedup.build_index(docs, hashing, 2, 6).collect()
+    assert sorted((r.keep_id, r.group_size) for r in index) == [(i, 100) for i in range(7)]
+    chains = defaultdict(list)
+    for r in index:
+        chains[r.depth, r.bucket, r.h].append(r.chain)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
+    assert bits == 64 or max(map(len, chains.values())) > 1
 
 
 def test_exact_empty(none):

@@ -1,16 +1,19 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
 Every text, its white space normalised, has a 64-bit hash; the leading bits of the hash name
-its bucket. The directory starts with one bucket and doubles: a bucket with more keys than its
-capacity is split by one more bit, until none is overfull. Buckets are ranges of the hash, and
-one task owns all entries of a bucket. Entries with equal hashes are chained in their bucket;
-texts were compared byte by byte before (the grouping is by the text itself), so two texts
-with one hash are two entries of a chain. The index is written to the shared folder and every
-document is looked up in it.
-
-Only DataFrame operations are used. Copies are combined before the shuffle, so a group with a
-third of all rows sends one row per task; the lookup is an equi-join whose large partitions
-Spark can split, because the index has one row per key.
+its bucket. The directory starts with one bucket. In each round every bucket with more keys
+than its capacity is split by one more bit, and where a split bucket was as deep as the
+directory, the directory doubles; rounds end when no bucket is overfull.
+
+One task owns all entries of a bucket. It orders them by hash and text: entries with one hash
+form a chain, and an entry whose bytes equal those of the entry before it is a copy of it.
+The links of the chains give the row that stays and the size of its group; they are written
+to the shared folder, and every document is looked up there by hash and digest.
+
+Only DataFrame operations are used. Copies are combined before entries are sent to their
+buckets, first within a task and then within each of a few salts, so a text that a third of
+all rows share comes to its owner in at most that many entries. The lookup is an equi-join
+whose large partitions Spark can split, because the index has one row per link.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import row_key, stored, whole_text
 
-#: Bits of the finest directory; entries of a bucket that is still overfull are chained.
-MAX_DEPTH = 16
+#: Bits of the finest directory; a bucket that is still overfull then stays so.
+MAX_DEPTH = 20
 #: Keys that a bucket holds before it is split.
-CAPACITY = 50_000
+CAPACITY = 16_384
+#: Entries in which copies of one text reach their bucket, at most.
+SALTS = 16
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,51 +41,59 @@ def hash64(text: Column) -> Column:
 
 def _slot(h: Column, depth: int) -> Column:
     """The leading bits of a hash."""
-    return F.shiftrightunsigned(h, 64 - depth)
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """For each slot of the finest directory that has keys: its bucket and that bucket's depth.
+def directory(keys: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, int]:
+    """slot, depth and bucket of every slot, and the directory's depth: slots are that many leading bits.
 
-    `keys` has a column h. A bucket is (depth, leading bits): the least depth at which the
-    slot's keys fit the capacity, or the finest. Slots are few (2^max_depth), so this is small.
+    `keys` has a column h, each key once. A bucket is named by its depth and leading bits;
+    the slots of a bucket that is less deep than the directory all point to it.
     """
-    fine = keys.groupBy(_slot(F.col("h"), max_depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    doubled = fine.select(
-        "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
-    ).withColumn("prefix", F.expr(f"shiftright(slot, {max_depth} - depth)"))
-    load = doubled.groupBy("depth", "prefix").agg(F.sum("n").alias("load"))
-    fits = load.filter((F.col("load") <= capacity) | (F.col("depth") == max_depth))
-    return (
-        doubled.join(fits, ["depth", "prefix"])
-        .groupBy("slot")
-        .agg(F.min(F.struct("depth", "prefix")).alias("bucket"))
-        .select("slot", F.col("bucket.depth").alias("depth"), F.col("bucket.prefix").alias("bucket"))
+    fine = stored(
+        keys.groupBy(_slot(F.col("h"), max_depth).alias("finest")).agg(F.count(F.lit(1)).alias("n")), "exact-load"
     )
+    last, found = keys.sparkSession.range(1).select(F.col("id").alias("bucket")), None
+    for depth in range(max_depth + 1):
+        load = fine.groupBy(F.shiftright("finest", max_depth - depth).alias("bucket")).agg(F.sum("n").alias("load"))
+        loaded = stored(last.join(load, "bucket", "left"), "exact-round")
+        over = (F.coalesce("load", F.lit(0)) > capacity) & F.lit(depth < max_depth)
+        fits = loaded.filter(~over).select(F.lit(depth).alias("depth"), "bucket")
+        found = fits if found is None else found.union(fits)
+        split = loaded.filter(over)
+        if split.isEmpty():
+            break
+        last = split.select(F.explode(F.array(F.col("bucket") * 2, F.col("bucket") * 2 + 1)).alias("bucket"))
+    width = F.expr(f"shiftleft(1L, {depth} - depth)")
+    slots = F.sequence(F.col("bucket") * width, (F.col("bucket") + 1) * width - 1)
+    return stored(found.select(F.explode(slots).alias("slot"), "depth", "bucket"), "exact-directory"), depth
 
 
 def build_index(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The index: bucket, depth, h, chain (from 1), text_sha256, keep_id, group_size.
 
-    One row per distinct text. keep_id is the smallest doc_id of its copies (null only if all
-    are null), group_size the number of rows.
+    One row per distinct text, a link of its hash's chain. keep_id is the smallest doc_id of
+    its copies (null only if all are null), group_size the number of rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("text"))
-    heads = (
-        texts.groupBy(hashing(F.col("text")).alias("h"), "text")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
+    texts = texts.withColumn("h", hashing(F.col("text")))
+    slots, depth = directory(texts.select("h").distinct(), capacity, max_depth)
+    entries = texts.groupBy(F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "h", "text").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")
     )
-    heads = stored(heads, "exact-heads")
-    placed = heads.withColumn("slot", _slot(F.col("h"), max_depth)).join(
-        directory(heads.select("h"), capacity, max_depth), "slot"
+    owned = (
+        entries.withColumn("slot", _slot(F.col("h"), depth)).join(slots, "slot")
+        .select("depth", "bucket", "h", "text", "least", "n").repartition("depth", "bucket")
     )
-    chain = Window.partitionBy("depth", "bucket", "h").orderBy("keep_id", "text_sha256")
-    owned = placed.repartition("depth", "bucket").withColumn("chain", F.row_number().over(chain))
-    return stored(
-        owned.select("bucket", "depth", "h", "chain", "text_sha256", "keep_id", "group_size"),
-        "exact-index",
+    in_chain = Window.partitionBy("depth", "bucket", "h").orderBy("text")
+    links = (
+        owned.withColumn("fresh", ~F.col("text").eqNullSafe(F.lag("text").over(in_chain)))
+        .withColumn("chain", F.sum(F.col("fresh").cast("int")).over(in_chain.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("text_sha256", F.when(F.col("fresh"), F.sha2("text", 256)))
+        .groupBy("depth", "bucket", "h", "chain")
+        .agg(F.max("text_sha256").alias("text_sha256"), F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
     )
+    return stored(links.select("bucket", "depth", "h", "chain", "text_sha256", "keep_id", "group_size"), "exact-index")
 
 
 def exact_groups(docs: DataFrame, hashing=hash64, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
