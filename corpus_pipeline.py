@@ -28,11 +28,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more the one with the smallest doc_id.
+    """Of documents connected by SimHash fingerprints of few different bits the one with the smallest doc_id.
 
-    Similarity is that of the texts' sets of five-word shingles; fingerprints propose the pairs.
+    Shingles are of four words and four bits may differ. Documents without words are alike.
+    A null doc_id never stays beside another id; of a group without any id all stay.
     """
-    groups = simhash.similar_groups(docs)
+    groups = simhash.near_groups(docs, words=simhash.SHINGLE, distance=simhash.DISTANCE)
     return only_rows(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
