@@ -157,40 +157,8 @@ def test_components_of_a_path(spark):
     assert {r.a: r.b for r in graph.components(edges).collect()} == {**{i: 0 for i in range(1, 13)}, 81: 80}
 
 
-@pytest.mark.parametrize("group", [1024, 2])
-def test_similar_groups(spark, group):
-    rows = []
-    for k in range(4):
-        words = prose(100 + k, 400).split()
-        rows.append((10 * k, " ".join(words)))
-        for copy in range(1, 5):
-            words[60 * copy] = f"changed{copy}"
-            rows.append((10 * k + copy, " ".join(words)))
-    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
-    assert all(r.component_id == r.doc_id // 10 * 10 for r in got)
-
-
-def test_similar_groups_are_those_of_shingle_sets(spark):
-    """A line repeated often neither joins different texts nor parts near copies; 0.75 is below 0.8."""
-    line = "one line that comes often "
-    rows = [(1, line * 500 + prose(201, 100)), (2, line * 500 + prose(202, 100))]
-    rows += [(3, prose(203, 300)), (4, prose(203, 300) + " " + line * 400)]
-    for k in range(30):  # similarities of 0.75 and of 0.81
-        words = prose(300 + k, 400).split()
-        rows += [(10 + 4 * k, " ".join(words)), (11 + 4 * k, " ".join([*words[:343], *prose(400 + k, 57).split()]))]
-        rows += [(12 + 4 * k, prose(500 + k, 400)), (13 + 4 * k, " ".join([*prose(500 + k, 400).split()[:358], *prose(600 + k, 42).split()]))]
-    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert alike(1, 2) < 0.1 and alike(3, 4) > 0.8 and alike(10, 11) < 0.8 <= alike(12, 13)
-    for i in got:
-        partner = i ^ 1 if i >= 10 else {1: 2, 2: 1, 3: 4, 4: 3}[i]
-        assert got[i] == (min(i, partner) if alike(i, partner) >= 0.8 else i), (i, alike(i, partner))
-
-
 def test_near_empty(none):
     assert simhash.near_groups(none).collect() == []
-    assert simhash.similar_groups(none).collect() == []
 
 
 def plain_removal(texts, length, first):

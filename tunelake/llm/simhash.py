@@ -7,23 +7,15 @@ connected set are given out, never all pairs. A key with more than `group` disti
 fingerprints is divided again: its remaining bits are cut into five blocks, of which a close
 pair shares one. Fingerprints that are still crowded after two divisions lie close together;
 their key is cut into parts, and a task compares two parts, so no group outgrows one task.
-
-Texts that agree in four fifths of their shingles differ in about a seventh of the bits, too
-many for blocks that must agree for sure. `similar_groups` finds candidates with 512 bits of
-the distinct shingles, cut twice, in different orders, into 36 blocks of 14: such a pair agrees
-in some block in 998 of 1000 cases at that similarity, and nearly always above it. Candidates
-are linked loosely; then the shingle sets of each linked group come together, and only pairs
-whose sets have the similarity are kept as edges.
 """
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, keyed, stored
@@ -38,15 +30,6 @@ SEED = 42
 GROUP = 1024
 #: Times that crowded keys are divided by further bits.
 DIVISIONS = 2
-#: Bits of the wide fingerprint and of its blocks, and the orders in which it is cut into blocks.
-WIDE = 512
-BLOCK_BITS = 14
-ORDERS = 2
-#: Bits of the wide fingerprint that candidates are compared by.
-COMPARED = 128
-#: Bytes of shingle sets compared with each other at once.
-SET_BYTES = 16 << 20
-_MIXERS, _STEP = 0x9E3779B97F4A7C15, 0x632BE59BD9B4E019
 #: Shingle hashes whose bits are counted at once.
 _COUNTED = 1 << 16
 
@@ -87,20 +70,6 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int.from_bytes(majority(shingle_hashes(text, words)), "little")
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(shingle_hashes(text, words))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """WIDE bits of a shingle set: each hash is mixed again for every 64 of them."""
-    out = []
-    for i in range(WIDE // BITS):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((_MIXERS + 2 * i * _STEP) % (1 << BITS))
-        out.append(majority((mixed ^ (mixed >> np.uint64(29))) * np.uint64(_MIXERS)))
-    return b"".join(out)
-
-
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, row_key and fp (signed 64-bit) of every row; null texts count as empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())])
@@ -223,192 +192,9 @@ def near_groups(
     """
     prints = stored(fingerprints(docs, words), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    return _named(prints, distinct, links(distinct.select("fp"), distance, blocks, group))
-
-
-def _named(prints: DataFrame, distinct: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
-    roots = components(edges)
-    rooted = distinct.join(roots.withColumnRenamed("a", node), node, "left").select(
-        node, "first", F.coalesce("b", node).alias("root")
-    )
+    roots = components(links(distinct.select("fp"), distance, blocks, group)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select(node, "component_id"), node).select(
+    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id", "row_key"
     )
-
-
-def wide_distance(similarity: float, bits: int = WIDE) -> int:
-    """Bits in which texts of a Jaccard similarity differ at most, in all but a few of 10,000 cases."""
-    angle = math.acos(2 * similarity / (1 + similarity))
-    return int(bits * (angle / math.pi + 0.13))
-
-
-def _wide_blocks() -> np.ndarray:
-    """Bit positions of each block."""
-    rng = np.random.default_rng(SEED)
-    many = WIDE // BLOCK_BITS
-    return np.concatenate([rng.permutation(WIDE)[: many * BLOCK_BITS].reshape(many, -1) for _ in range(ORDERS)])
-
-
-def _wide_keys(batches):
-    """node, the compared bits as two words, and a key for every block."""
-    blocks = _wide_blocks()
-    powers = 1 << np.arange(BLOCK_BITS)
-    for batch in batches:
-        for i in range(0, len(batch), 2048):
-            part = batch.slice(i, 2048)
-            fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(len(part), -1)
-            bits = np.unpackbits(fps, axis=1)
-            keys = np.stack([bits[:, b] @ powers for b in blocks], 1) + (np.arange(len(blocks)) << BLOCK_BITS)
-            low, high = (np.ascontiguousarray(fps[:, k : k + 8]).view(np.int64).ravel() for k in (0, 8))
-            offsets = np.arange(len(part) + 1, dtype=np.int32) * len(blocks)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array(low), pa.array(high),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().astype(np.int32)))],
-                names=["node", "low", "high", "keys"],
-            )
-
-
-def _wide_stars(distance: int):
-    """As _stars, for arrays of (node, low, high); groups of one size are compared together."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("fps")
-            items = lists.flatten()
-            node, low, high = (items.field(i).to_numpy() for i in range(3))
-            low, high = low.view(np.uint64), high.view(np.uint64)
-            sizes = lists.value_lengths().to_numpy()
-            begins = np.cumsum(sizes) - sizes
-            sources, targets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for size in np.unique(sizes[sizes > 1]).tolist():
-                groups = begins[sizes == size]
-                step = max(1, (1 << 20) // size**2)
-                for i in range(0, len(groups), step):
-                    at = groups[i : i + step, None] + np.arange(size)
-                    apart = sum(
-                        np.bitwise_count(w[at][:, :, None] ^ w[at][:, None, :]).astype(np.int16) for w in (low, high)
-                    )
-                    near = apart <= distance
-                    for j in np.flatnonzero(near.sum(axis=(1, 2)) > size).tolist():
-                        label = connected(near[j])
-                        other = label != np.arange(size)
-                        sources.append(node[at[j][other]])
-                        targets.append(node[at[j][label[other]]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sources)), pa.array(np.concatenate(targets))], names=["a", "b"]
-            )
-
-    return run
-
-
-def wide_links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) between nodes that agree in a block and differ in at most `distance` compared bits.
-
-    `distinct` has node and fp. A block value that more than `group` nodes share is cut into
-    parts, which are compared two by two.
-    """
-    rows = (
-        distinct.select("node", "fp").mapInArrow(_wide_keys, "node long, low long, high long, keys array<int>")
-        .select(F.struct("node", "low", "high").alias("fp"), F.explode("keys").alias("key"))
-    )
-    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
-    gathered = rows.join(sizes.filter(F.col("n") <= group).drop("n"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    pairs = _pairs_of_parts(rows, sizes.filter(F.col("n") > group), ["key"], group)
-    return gathered.select("fps").union(pairs).mapInArrow(_wide_stars(distance), "a long, b long")
-
-
-def _agreeing(similarity: float, distance: int):
-    """For each array `members` of (node, fp, set): edges that connect what pairs of that similarity connect."""
-
-    def edges(nodes, fps, sets):
-        words = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
-        counts = np.array([len(s) for s in sets])
-        label = np.arange(len(nodes))
-        for i in range(len(nodes) - 1):
-            apart = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1, dtype=np.int64)
-            least, most = np.minimum(counts[i + 1 :], counts[i]), np.maximum(counts[i + 1 :], counts[i])
-            for j in (i + 1 + np.flatnonzero((apart <= distance) & (least >= similarity * most - 1e-9))).tolist():
-                if label[i] != label[j]:
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if common >= similarity * (counts[i] + counts[j] - common) - 1e-9:
-                        label[label == label[j]] = label[i]
-                        yield nodes[i], nodes[j]
-
-    def run(batches):
-        for batch in batches:
-            for k in range(len(batch)):
-                items = batch.column("members")[k].values
-                nodes, fps = items.field("node").to_pylist(), items.field("fp").to_pylist()
-                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in items.field("set")]
-                found = list(edges(nodes, fps, sets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([e[n] for e in found], pa.int64()) for n in (0, 1)], names=["a", "b"]
-                )
-
-    return run
-
-
-def _verified(docs: DataFrame, distinct: DataFrame, loose: DataFrame, words: int, similarity: float, group: int) -> DataFrame:
-    """Edges (a, b) that connect what the pairs of that similarity inside loosely linked groups connect.
-
-    Every shingle set of a group comes once; a group that is too large for a task is cut into
-    parts, which are compared two by two.
-    """
-    roots = components(loose)
-    roots = stored(roots.union(roots.select("b", "b").distinct()).select(F.col("a").alias("node"), F.col("b").alias("root")), "simhash-loose")
-    members = roots.join(distinct, "node").select("node", "root", "fp", "n", "key")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("held"))
-    over = F.greatest(F.col("many") / group, F.col("held") * 8 / SET_BYTES)
-    sizes = sizes.select("root", F.when(over <= 1, 1).otherwise(F.ceil(over * 2)).cast("int").alias("parts"))
-    wanted = members.join(sizes, "root").select("node", "root", "fp", "parts", F.col("key").alias("row_key"))
-    copies = Window.partitionBy("row_key").orderBy(F.lit(0))
-    rows = (
-        keyed(docs).join(wanted, "row_key").withColumn("copy", F.row_number().over(copies)).filter("copy = 1")
-        .select("node", "root", "parts", "fp", "text")
-    )
-
-    def run(batches):
-        for batch in batches:
-            for part in by_bytes([batch], "text"):
-                sets = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("node", "root", "parts", "fp")), pa.array(sets, pa.binary())],
-                    names=["node", "root", "parts", "fp", "set"],
-                )
-
-    sets = rows.mapInArrow(run, "node long, root long, parts int, fp binary, set binary")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cut = sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
-    gathered = cut.groupBy("root", *pair).agg(F.collect_list(F.struct("node", "fp", "set")).alias("members"))
-    return gathered.select("members").mapInArrow(_agreeing(similarity, wide_distance(similarity)), "a long, b long")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """As near_groups, for texts whose shingle sets have that Jaccard similarity or more; fp is binary.
-
-    Fingerprints only propose pairs; each edge is verified on the two sets of shingle hashes.
-    """
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.binary())]
-    )
-
-    def run(batches):
-        for batch in by_bytes(batches, "text"):
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())],
-                schema=schema,
-            )
-
-    prints = keyed(docs).mapInArrow(run, "doc_id long, row_key long, node long, n long, fp binary")
-    prints = stored(prints, "simhash-wide")
-    distinct = prints.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("row_key").alias("key")
-    )
-    distinct = stored(distinct, "simhash-distinct")
-    loose = wide_links(distinct, wide_distance(similarity, COMPARED), group)
-    return _named(prints, distinct, _verified(docs, distinct, loose, words, similarity, group), "node")
