@@ -141,11 +141,12 @@ def smaller_neighbours(position: np.ndarray):
 
     def before(values):
         link = np.arange(-1, len(values) - 1)
-        while True:
-            open_ = np.flatnonzero((link >= 0) & (values[np.maximum(link, 0)] > values))
-            if not len(open_):
-                return link
-            link[open_] = link[link[open_]]
+        open_ = 1 + np.flatnonzero(values[:-1] > values[1:])
+        while len(open_):  # an index that is settled is not looked at again
+            further = link[link[open_]]
+            link[open_] = further
+            open_ = open_[(further >= 0) & (values[further] > values[open_])]
+        return link
 
     n = len(position)
     return before(position), n - 1 - before(position[::-1])[::-1]
