@@ -125,23 +125,28 @@ def live_visible_text(spark, sf):
     return rows.groupBy("conv_id", "turn").agg(joined.alias("text"))
 
 
+#: Records of an arriving file, and files of a micro-batch.
+FILE_ROWS, FILES = 2000, 4
+
+
 @named(
     "live_discovery",
     dataset_queries.with_inputs(
-        "SELECT dataset AS folder, count(*) AS examples FROM raw_records GROUP BY dataset",
+        f"""SELECT part, examples, {dataset_queries.format_sql('record')} AS format,
+        {dataset_queries.key_sql('record')} AS message_key, {dataset_queries.style_sql('record')} AS tag_style
+        FROM (SELECT dataset || '-' || (pos // {FILE_ROWS}) AS part, arg_min(record, pos) AS record, count(*) AS examples
+          FROM raw_records GROUP BY 1) f""",
         "raw_records",
     ),
 )
 def live_discovery(spark, sf):
-    """Records land as JSON-lines files, then a stream finds and classifies the files."""
+    """Records land as many JSON-lines files, then a stream finds and classifies them in several batches."""
     folder, out = scratch(spark, "landing"), scratch(spark, "found")
-    files.write_jsonl(dataset_queries.raw_records(spark, sf), folder)
-    stream = discovery.new_lines(spark, folder, "*.txt", recursiveFileLookup="true")
+    records = dataset_queries.raw_records(spark, sf, FILE_ROWS)
+    files.write_lines(records.withColumn("part", F.concat_ws("-", "dataset", "block")), folder, "part", "record")
+    stream = discovery.new_lines(spark, folder, "*.txt", recursiveFileLookup="true", maxFilesPerTrigger=str(FILES))
     writer = discovery.catalogue_writer(stream, out, scratch(spark, "stream-state"))
     writer.trigger(availableNow=True).start().awaitTermination()
+    part = F.regexp_extract("file", r"part=([^/]+)/", 1)
     found = spark.read.parquet(out)
-    return (
-        found.withColumn("folder", F.regexp_extract("file", r"dataset=([^/]+)/", 1))
-        .groupBy("folder")
-        .agg(F.sum("examples").alias("examples"))
-    )
+    return found.select(part.alias("part"), "examples", "format", "message_key", "tag_style")
