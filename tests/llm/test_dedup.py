@@ -229,3 +229,14 @@ def test_matches_by_length():
     for i in starts:
         same = [k for k in starts if whole[k : k + 3] == whole[i : i + 3]]
         assert earlier[i] == (min(same) < i) and later[i] == (max(same) > i)
+
+
+@pytest.mark.parametrize("runs", [1, 7, 300])
+def test_smaller_neighbours_of_rising_runs(runs):
+    """What ends a long rising run looks back over the whole of it."""
+    order = np.random.default_rng(runs).permutation(300)
+    values = np.concatenate([np.sort(run) for run in np.array_split(order, runs)])
+    before, after = passages.smaller_neighbours(values)
+    for i, v in enumerate(values):
+        assert before[i] == max((j for j in range(i) if values[j] < v), default=-1)
+        assert after[i] == min((j for j in range(i + 1, 300) if values[j] < v), default=300)
