@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tunelake.functions import text as tx
 from tunelake.operators import chat, ordered
+from tunelake.plans import chat_queries
 from tunelake.streaming import reasoning
 
 TEXTS = [
@@ -103,6 +104,19 @@ def test_assemble_and_transcripts(spark):
     ]
 
 
+def test_transcripts_query_gives_whole_conversations(spark, tmp_path):
+    """A row holds every turn of its conversation, however many parts it is put together from."""
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{c}-{t}") for c, n in ((1, 1), (2, 2), (3, 7), (4, 2300)) for t in range(n)]
+    odd = [(3, None, "user", "unnumbered"), (3, 3, "user", None), (5, 0, None, "nobody")]
+    rows = spark.createDataFrame(turns + odd, "conv_id bigint, turn bigint, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat_queries.transcripts(spark, str(tmp_path)).collect()}
+    want = {c: [f"{r}: {x}" for i, _, r, x in turns if i == c] for c in (1, 2, 3, 4)}
+    want[3].append("user: unnumbered")
+    assert {c: got[c]["transcript"] for c in got} == {c: "\n".join(x) for c, x in want.items()} | {5: None}
+    assert {c: (got[c]["part"], got[c]["n"]) for c in got} == {1: (0, 1), 2: (0, 2), 3: (0, 9), 4: (0, 2300), 5: (0, 1)}
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_sessions(spark, block):
     script = ["hi", " ", "a", "/clear", "b", "\t", "/clear ", "c", "/quit", "after", "/clear", "more"]
