@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import rows
 from tunelake.functions import yaml as flat
+from tunelake.sources import configs
 
 VALUES = [
     ("a: 1 # note", {"a": "1"}),
@@ -57,3 +59,13 @@ def test_against_a_dumper(spark):
     for r in df.select("i", flat.flat_entries(F.col("t")).alias("e"), flat.flat_valid(F.col("t")).alias("ok")).collect():
         assert {e.key: e.value for e in r.e} == docs[r.i], texts[r.i]
         assert r.ok, texts[r.i]
+
+
+def test_documents_of_one_partition_are_read_by_many_tasks(spark):
+    docs = spark.range(40).selectExpr("concat('r', id) AS run", "concat('a: ', id, '\n# c\nb: \"x\"\n') AS content").coalesce(1)
+    for read in (configs.config_entries(docs), configs.document_fields(docs, ["a", "b"])):
+        used = read.groupBy(F.spark_partition_id()).count().count()
+        assert used > 1
+    assert rows(configs.config_entries(docs), "run", "key", "value") == sorted(
+        x for i in range(40) for x in ((f"r{i}", "a", str(i)), (f"r{i}", "b", "x"))
+    )

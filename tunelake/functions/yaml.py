@@ -25,6 +25,7 @@ KEYS = [r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"[ \t]*:(?:[ \t](.*))?$', r"^'([^']*+(?:'
         r"^([^\s#'\"\-\[\]{},&*!|>%@`?:](?:[^#:]|:(?=\S)|(?<=\S)#)*?|-[^\s:#]+)[ \t]*:(?:[ \t](.*))?$"]
 COMMENT = r"(?:^|[ \t])#"
 NESTED = r"^[ \t]+(?:-(?:[ \t]|$)|[^\s'\"#][^:#]*:(?:[ \t]|$))"
+WORD = r"^[A-Za-z0-9_]"
 BLOCK = r"^[|>][-+0-9]*[ \t]*(?:#.*)?$"
 
 STATE = "struct<done: array<struct<key: string, raw: string>>, key: string, raw: string, mode: string, bad: boolean>"
@@ -36,7 +37,8 @@ def _key(line: Column) -> Column:
     found = lambda pattern, use: F.struct(
         use(F.regexp_extract(line, pattern, 1)).alias("key"), F.ltrim(F.regexp_extract(line, pattern, 2)).alias("rest")
     )
-    return (
+    # most lines begin with a word, which needs no look for quotes
+    return F.when(line.rlike(WORD), F.when(line.rlike(plain), found(plain, lambda k: k))).otherwise(
         F.when(line.rlike(double), found(double, _unescaped))
         .when(line.rlike(single), found(single, lambda k: F.replace(k, F.lit("''"), F.lit("'"))))
         .when(line.rlike(plain), found(plain, lambda k: k))
@@ -49,16 +51,22 @@ def _mode(raw: Column) -> Column:
     return (
         F.when(raw.startswith('"'), quoted('"', DOUBLE))
         .when(raw.startswith("'"), quoted("'", SINGLE))
-        .when(raw.rlike(BLOCK), "block")
-        .when(raw.rlike(r"^#"), "plain")
-        .when(raw.rlike(COMMENT), "done")
+        .when((raw.startswith("|") | raw.startswith(">")) & raw.rlike(BLOCK), "block")
+        .when(raw.startswith("#"), "plain")
+        .when(raw.contains("#") & raw.rlike(COMMENT), "done")
         .otherwise("plain")
     )
 
 
 def _content(raw: Column) -> Column:
     """A value's text so far, empty while there is nothing but a comment."""
-    return F.when(raw.rlike(r"^#"), F.lit("")).otherwise(F.trim(raw))
+    return F.when(raw.startswith("#"), F.lit("")).otherwise(F.trim(raw))
+
+
+def _closed(s: Column) -> Column:
+    """The entries with the open one, if there is one."""
+    entry = F.struct(s["key"].alias("key"), s["raw"].alias("raw"))
+    return F.when(s["key"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(entry)))
 
 
 def _step(s: Column, line: Column) -> Column:
@@ -66,15 +74,20 @@ def _step(s: Column, line: Column) -> Column:
 
     def state(**new):
         values = same | new
-        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()]).cast(STATE)
+        # of the state's types already: a cast would copy all entries at every line
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
 
     longer = F.concat(s["raw"], F.lit("\n"), line)
-    closed = F.concat(s["done"], F.when(s["key"].isNotNull(), F.array(F.struct(s["key"].alias("key"), s["raw"].alias("raw")))).otherwise(F.array()))
+    closed = _closed(s)
     empty = (s["mode"] == "plain") & (_content(s["raw"]) == "")
     begun = F.ltrim(line, F.lit(" \t"))
+    opened = bind(_key(line), lambda k: F.when(k.isNull(), state(bad=s["bad"] | s["key"].isNotNull())).otherwise(
+        state(done=closed, key=k["key"], raw=k["rest"], mode=_mode(k["rest"]), bad=s["bad"] | ((s["mode"] == "scalar")))
+    ))
     return (
         F.when(s["mode"] == '"', state(raw=longer, mode=F.when(longer.rlike(DOUBLE), "done").otherwise('"')))
         .when(s["mode"] == "'", state(raw=longer, mode=F.when(longer.rlike(SINGLE), "done").otherwise("'")))
+        .when(line.rlike(WORD), opened)
         .when((s["mode"] == "block") & line.rlike(r"^(?:[ \t].*|)$"), state(raw=longer))
         .when(line.rlike(r"^\s*$"), F.when((s["mode"] == "plain") & ~empty, state(raw=longer)).otherwise(state()))
         .when(line.rlike(r"^\s*#"), F.when((s["mode"] == "plain") & ~empty, state(mode="done")).otherwise(state()))
@@ -88,11 +101,9 @@ def _step(s: Column, line: Column) -> Column:
             ))
             .otherwise(state(bad=s["bad"] | s["key"].isNotNull())),
         )
-        .when(line.rlike(r"^(?:---|\.\.\.)(?:\s|$)|^%"), state(done=closed, key=F.lit(None), raw="", mode="none"))
+        .when(line.rlike(r"^(?:---|\.\.\.)(?:\s|$)|^%"), state(done=closed, key=F.lit(None).cast("string"), raw="", mode="none"))
         .when(line.rlike(r"^-(?:[ \t]|$)"), F.when(empty | (s["mode"] == "nested"), state(mode="nested")).otherwise(state(bad=s["bad"] | s["key"].isNotNull())))
-        .otherwise(bind(_key(line), lambda k: F.when(k.isNull(), state(bad=s["bad"] | s["key"].isNotNull())).otherwise(
-            state(done=closed, key=k["key"], raw=k["rest"], mode=_mode(k["rest"]), bad=s["bad"] | ((s["mode"] == "scalar")))
-        )))
+        .otherwise(opened)
     )
 
 
@@ -102,7 +113,7 @@ def _folded(content: Column) -> Column:
         F.array().alias("done"), F.lit(None).alias("key"), F.lit("").alias("raw"), F.lit("none").alias("mode"), F.lit(False).alias("bad")
     ).cast(STATE)
     last = lambda s: F.struct(
-        F.concat(s["done"], F.when(s["key"].isNotNull(), F.array(F.struct(s["key"].alias("key"), s["raw"].alias("raw")))).otherwise(F.array())).alias("done"),
+        _closed(s).alias("done"),
         (s["bad"] | s["mode"].isin('"', "'")).alias("bad"),
     )
     lines = F.split(F.regexp_replace(F.coalesce(content, F.lit("")), r"^\x{FEFF}", ""), r"\r\n|\r|\n")
@@ -151,11 +162,12 @@ def scalar(raw: Column) -> Column:
     """Value of an entry's raw text; NULL for a null word or nothing."""
     inner = lambda pattern: F.regexp_extract(raw, pattern, 1)
     escaped_break = r"(?<!\\)((?:\\\\)*)\\\n[ \t]*"
-    plain = F.trim(_flow(F.regexp_replace(raw, r"(?m)(?:^|[ \t]+)#.*$", "")), F.lit(" \t\n"))
+    uncommented = F.when(raw.contains("#"), F.regexp_replace(raw, r"(?m)(?:^|[ \t]+)#.*$", "")).otherwise(raw)
+    plain = F.trim(F.when(raw.contains("\n"), _flow(uncommented)).otherwise(uncommented), F.lit(" \t\n"))
     return (
         F.when(raw.startswith('"'), _unescaped(_flow(F.regexp_replace(inner(DOUBLE), escaped_break, "$1"))))
         .when(raw.startswith("'"), F.replace(_flow(inner(SINGLE)), F.lit("''"), F.lit("'")))
-        .when(raw.rlike(r"^[|>][-+0-9]*[ \t]*(?:#.*)?(?:\n|$)"), _block(raw))
+        .when((raw.startswith("|") | raw.startswith(">")) & raw.rlike(r"^[|>][-+0-9]*[ \t]*(?:#.*)?(?:\n|$)"), _block(raw))
         .otherwise(bind(plain, lambda p: F.when(~p.isin(NULL_WORDS), p)))
     )
 
