@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,25 @@ def test_quality_without_pairs(spark, known):
     assert quality.score_documents(df.limit(0), labels).collect() == []
 
 
+@pytest.mark.parametrize("every", [2, 400])
+def test_quality_learns_from_all_labelled_rows(spark, every):
+    """Mean, spread and threshold are those of all rows, however rare one label is."""
+    n = 7000
+    rng = np.random.default_rng(1)
+    good = np.arange(n) % every == 0
+    x = rng.normal(size=(n, quality.WIDTH)).astype(np.float32)
+    x[good, 3] += 2
+    data = pa.table({"doc_id": np.arange(n), "held_out": np.zeros(n, bool), "features": pa.array(list(x))})
+    labels = pa.table({"doc_id": np.arange(n), "quality": good.astype(np.int32)})
+    ranking = quality.fit(spark.createDataFrame(data), spark.createDataFrame(labels))
+    x = x.astype(float)
+    assert np.allclose(ranking.mean, x.mean(axis=0), atol=1e-9) and np.allclose(ranking.spread, x.std(axis=0), atol=1e-9)
+    strength = np.sort(ranking.strengths(x))
+    bad = n - good.sum()
+    assert ranking.threshold == pytest.approx((strength[bad - 1] + strength[bad]) / 2, abs=1e-9)
+    assert ranking.weights.argmax() == 3
+
+
 def test_quality_of_a_labelled_id_on_many_rows(spark):
     rng = np.random.default_rng(2)
     docs = [(1, _good(rng, 30)) for _ in range(400)] + [(3 if _held_out(2) else 2, _bad(rng, 30)) for _ in range(400)]

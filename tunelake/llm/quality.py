@@ -3,8 +3,10 @@
 Every text becomes a vector of counts and shares: kinds of characters and their neighbours,
 words, lines and repetitions. The model gives a document the strength w.x; a document is
 preferred over another with probability 1 / (1 + exp(w.x' - w.x)), and w is fitted by logistic
-loss on the feature differences of pairs of a good and a bad labelled document. The threshold
-is the quantile of the labelled documents' strengths at the share of bad ones, and a score is
+loss on the feature differences of pairs of a good and a bad labelled document. All labelled
+documents take part: they are dealt into blocks of bounded size, rivals are of the same block,
+and every Newton step is a sum over the blocks. The threshold is the exact
+quantile of the labelled documents' strengths at the share of bad ones, and a score is
 the strength put on a scale from 0 to 1 on which that quantile lies at KEEP.
 """
 
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, stored, whole_text
 
-#: Labelled rows that learning reads, about; they are chosen by a hash.
-SAMPLE = 5000
+#: Labelled rows of a block, about, and rows of the rarer label in it, about and at least.
+BLOCK = 1024
+RARE = 32
+#: Ranges that one pass over the strengths tells apart.
+BINS = 4096
 #: Documents of the other label that every labelled document is compared with.
 RIVALS = 12
 #: Score at the threshold; documents from there on are kept.
@@ -109,55 +114,100 @@ def features(text: str) -> np.ndarray:
 
 
 class Ranking:
-    """A fitted strength function and its threshold."""
+    """A strength function and its threshold."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rivals: int = RIVALS, seed: int = 0):
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(WIDTH)
-        spread = x.std(axis=0) if len(x) else np.ones(WIDTH)
-        self.spread = np.where(spread > 1e-9, spread, np.inf)
-        self.weights = np.zeros(len(self.mean))
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        if not len(good) or not len(bad):  # nothing to compare: all are kept, unless only bad ones are known
-            self.threshold = 50.0 if len(bad) else 0.0
-            return
-        z = self._scaled(x)
-        rng = np.random.default_rng(seed)
-        # every document meets `rivals` of the other label, dealt out in turn from a shuffled order
-        deal = lambda own, other: (np.repeat(own, rivals), rng.permutation(other)[np.arange(len(own) * rivals) % len(other)])
-        (g1, b1), (b2, g2) = deal(good, bad), deal(bad, good)
-        winners, losers = np.concatenate([g1, g2]), np.concatenate([b1, b2])
-        # both labels weigh the same, however rare one is
-        weight = np.concatenate([np.full(len(g1), 0.5 / len(g1)), np.full(len(g2), 0.5 / len(g2))])
-        self.weights = _fit_preferences(z, winners, losers, weight)
-        strength = np.sort(z @ self.weights)
-        self.threshold = float((strength[len(bad) - 1] + strength[len(bad)]) / 2)
+        """Learned from the rows of an array, as one block."""
+        block = Block(x, y == 1, np.ones(len(x)), rivals, seed)
+        _learn(self, int((y == 1).sum()), int((y == 0).sum()), lambda use: use(block), lambda ranks: np.sort(self.strengths(x))[ranks])
+
+    @classmethod
+    def empty(cls) -> "Ranking":
+        return cls(np.zeros((0, WIDTH)), np.zeros(0))
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -CLIP, CLIP)
 
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return self._scaled(x) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Scores from 0 to 1, KEEP at the threshold."""
-        strength = self._scaled(x) @ self.weights - self.threshold
+        strength = self.strengths(x) - self.threshold
         return 1 / (1 + np.exp(-np.clip(strength + np.log(KEEP / (1 - KEEP)) + 1e-9, -30, 30)))
 
 
-def _fit_preferences(z: np.ndarray, winners: np.ndarray, losers: np.ndarray, weight: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Bradley-Terry weights by Newton's method; `weight` of the pairs sums to one."""
-    w = np.zeros(z.shape[1])
-    ridge = RIDGE * np.eye(len(w))
+class Block:
+    """Labelled documents that are each other's rivals, and what they add to a learning step.
+
+    `times` says how many blocks a document is in; it counts as one over all of them.
+    """
+
+    def __init__(self, x: np.ndarray, good: np.ndarray, times: np.ndarray, rivals: int = RIVALS, seed: int = 0):
+        self.x, self.good, self.times = x, good, times
+        self.rivals, self.seed = rivals, seed
+
+    def moments(self, center: np.ndarray) -> np.ndarray:
+        """Sums of the features and of their squares, about a center."""
+        d = (self.x - center) / self.times[:, None] if len(self.x) else np.zeros((0, len(center)))
+        return np.concatenate([d.sum(axis=0), (d * (self.x - center)).sum(axis=0)])
+
+    def _pairs(self):
+        """Winners, losers and weights; the pairs of a document weigh one together."""
+        good, bad = np.flatnonzero(self.good), np.flatnonzero(~self.good)
+        if not len(good) or not len(bad):
+            return (np.empty(0, int),) * 2 + (np.empty(0),) * 2
+        rng = np.random.default_rng(self.seed)
+        # every document meets `rivals` of the other label, dealt out in turn from a shuffled order
+        n = self.rivals
+        deal = lambda own, other: (np.repeat(own, n), rng.permutation(other)[np.arange(len(own) * n) % len(other)])
+        (g1, b1), (b2, g2) = deal(good, bad), deal(bad, good)
+        own = np.concatenate([1 / self.times[g1], np.zeros(len(b2))]), np.concatenate([np.zeros(len(g1)), 1 / self.times[b2]])
+        return np.concatenate([g1, g2]), np.concatenate([b1, b2]), own[0] / n, own[1] / n
+
+    def step(self, ranking: Ranking, goods: int, bads: int) -> np.ndarray:
+        """Slope and curve of the pairs' logistic loss, both labels with half of the weight, however rare one is."""
+        z = ranking._scaled(self.x)
+        winners, losers, of_good, of_bad = self._pairs()
+        weight = 0.5 * of_good / goods + 0.5 * of_bad / bads
+        strength = z @ ranking.weights
+        p = 1 / (1 + np.exp(np.clip(strength[winners] - strength[losers], -30, 30)))  # probability of the wrong order
+        size = len(z)
+        pull = np.bincount(winners, weight * p, size) - np.bincount(losers, weight * p, size)
+        stiff = weight * p * (1 - p)
+        # the sum over the pairs of the outer squares of their differences
+        tie = np.bincount(winners, stiff, size) + np.bincount(losers, stiff, size)
+        good, bad = np.flatnonzero(self.good), np.flatnonzero(~self.good)
+        place = np.zeros(size, int)
+        place[good], place[bad] = np.arange(len(good)), np.arange(len(bad))
+        links = np.bincount(place[winners] * len(bad) + place[losers], stiff, len(good) * len(bad)).reshape(len(good), len(bad))
+        across = z[good].T @ (links @ z[bad])
+        return np.concatenate([-(z.T @ pull), ((z * tie[:, None]).T @ z - across - across.T).ravel()])
+
+
+def _learn(ranking: Ranking, goods: int, bads: int, total, at, steps: int = 30) -> None:
+    """Learn a ranking: `total` sums what a function gives of every block, `at` gives strengths by rank.
+
+    The weights are those of the Bradley-Terry model by Newton's method; the pairs' weight sums to one.
+    """
+    n = goods + bads
+    width = WIDTH if not n else len(total(lambda b: b.x[:1].sum(axis=0)))
+    ranking.mean, ranking.spread, ranking.weights = np.zeros(width), np.ones(width), np.zeros(width)
+    if not goods or not bads:  # nothing to compare: all are kept, unless only bad ones are known
+        ranking.threshold = 50.0 if bads else 0.0
+        return
+    ranking.mean = total(lambda b: b.moments(np.zeros(width)))[:width] / n
+    mean = ranking.mean
+    spread = np.sqrt(np.maximum(total(lambda b: b.moments(mean))[width:] / n, 0))
+    ranking.spread = np.where(spread > 1e-9, spread, np.inf)
     for _ in range(steps):
-        slope, curve = RIDGE * w, ridge.copy()
-        for i in range(0, len(winners), 1 << 14):  # differences of a slice of the pairs at a time
-            part = slice(i, i + (1 << 14))
-            d = z[winners[part]] - z[losers[part]]
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # probability of the wrong order
-            slope -= d.T @ (weight[part] * p)
-            curve += (d * (weight[part] * p * (1 - p))[:, None]).T @ d
-        step = np.linalg.solve(curve, slope)
-        w -= step / max(1.0, np.abs(step).max() / 5)
-        if np.abs(step).max() < 1e-6:
+        found = total(lambda b: b.step(ranking, goods, bads))
+        slope = RIDGE * ranking.weights + found[:width]
+        move = np.linalg.solve(found[width:].reshape(width, width) + RIDGE * np.eye(width), slope)
+        ranking.weights = ranking.weights - move / max(1.0, np.abs(move).max() / 5)
+        if np.abs(move).max() < 1e-6:
             break
-    return w
+    ranking.threshold = float(np.mean(at([bads - 1, bads])))
 
 
 def held_out(parts: int = 4, remainder: int = 2):
@@ -184,11 +234,109 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH)
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Learn from the labelled ones among measured rows, about `sample` of them.
+def _blocks(labelled: DataFrame, goods: int, bads: int) -> DataFrame:
+    """block, features, good, times and own of the labelled rows, stored by blocks.
 
-    Rows are chosen by a hash of doc_id and features, equal rows count once. Held-out rows,
-    labels other than 0 and 1 and doc_ids with contradicting labels are not used.
+    A hash deals the rows out. Where one label is too rare for all blocks, its rows are in
+    several of them, one of which is its own, so that every row meets rivals and no block is large.
+    """
+    blocks = -(-(goods + bads) // BLOCK)
+    fewer = min(goods, bads)
+    times = min(blocks, max(1, -(-blocks * RARE // fewer)))
+    rare = F.col("quality") == int(goods <= bads)
+    h = F.xxhash64("doc_id", "features")
+    first = F.pmod(h, F.lit(blocks))
+    place = lambda i: F.struct((i == 0).alias("own"), F.pmod(first + F.floor(i * F.lit(blocks) / times), F.lit(blocks)).alias("block"))
+    dealt = labelled.select(
+        "features", (F.col("quality") == 1).alias("good"), h.alias("h"), F.when(rare, times).otherwise(1).alias("times"),
+        F.inline(F.transform(F.sequence(F.lit(0), F.when(rare, times - 1).otherwise(0)), place)),
+    )
+    # files are large enough to be few, and too small to be split
+    shares = max(1, min(blocks, 4 * labelled.sparkSession.sparkContext.defaultParallelism), blocks // 100)
+    return stored(dealt.repartition(shares, "block").sortWithinPartitions("block", "h"), "blocks")
+
+
+def _each_block(batches):
+    """Block objects of rows that come sorted by block."""
+    held, current = [], None
+
+    def built():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        times = rows.column("times").to_numpy().astype(float)
+        good = rows.column("good").combine_chunks().to_numpy(zero_copy_only=False)
+        return Block(_matrix(rows.column("features").combine_chunks()), good, times, seed=int(current))
+
+    for batch in batches:
+        numbers = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if held and numbers[start] != current:
+                yield built()
+                held = []
+            if end > start:
+                current = numbers[start]
+                held.append(batch.slice(start, end - start))
+    if held:
+        yield built()
+
+
+def _total(blocks: DataFrame, use) -> np.ndarray:
+    """The sum of use(block) over all blocks: each task adds up its own, then positions are added up.
+
+    The blocks of a partition of the stored rows are whole, as its files are not split.
+    """
+
+    def run(batches):
+        out = None
+        for block in _each_block(batches):
+            value = use(block)
+            out = value if out is None else out + value
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(out), dtype=np.int64)), "value": pa.array(out, pa.float64())})
+
+    parts = blocks.mapInArrow(run, "at long, value double")
+    # sorted before they are added, so that the sum does not depend on the order of the tasks
+    added = F.aggregate(F.array_sort(F.collect_list("value")), F.lit(0.0), lambda a, x: a + x)
+    found = parts.groupBy("at").agg(added.alias("value")).toArrow().sort_by("at")
+    return found.column("value").to_numpy()
+
+
+def _strengths_at(blocks: DataFrame, ranking: Ranking, ranks: list[int]) -> np.ndarray:
+    """Strengths of the labelled rows by their rank, exactly: ranges with the rank in it are halved further.
+
+    A row that is in several blocks counts in its own.
+    """
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"s": pa.array(ranking.strengths(_matrix(batch.column("features"))))})
+
+    rows = stored(blocks.filter("own").select("features").mapInArrow(run, "s double"), "strengths")
+    out = []
+    for rank in ranks:
+        low, high = rows.agg(F.min("s"), F.max("s")).first()
+        while low < high:
+            width = (high - low) / BINS
+            bin_of = F.least(F.floor((F.col("s") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+            inside = rows.filter((F.col("s") >= low) & (F.col("s") <= high)).groupBy(bin_of.alias("bin"))
+            found = inside.agg(F.count("s").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect()
+            before = rows.filter(F.col("s") < low).count()
+            for r in found:
+                if before + r.n > rank:
+                    low, high = r.low, r.high
+                    break
+                before += r.n
+            if len(found) == 1 and low < high:  # the range cannot be parted further
+                break
+        out.append(low)
+    return np.array(out)
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int | None = None) -> Ranking:
+    """Learn from all labelled ones among measured rows.
+
+    Equal rows count once. Held-out rows, labels other than 0 and 1 and doc_ids with
+    contradicting labels are not used. `sample` is taken no more.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -196,12 +344,14 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
     )
     labelled = stored(rows.filter(~F.col("held_out")).join(known.select("doc_id", "quality"), "doc_id").distinct(), "labelled")
-    share = int((1 << 31) * min(1.0, sample / max(1, labelled.count())))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 31)) < share)
-    table = chosen.select("features", "quality", F.xxhash64("doc_id", "features").alias("h")).toArrow().combine_chunks().sort_by("h")
-    if not len(table):
-        return Ranking(np.zeros((0, WIDTH)), np.zeros(0))
-    return Ranking(_matrix(table.column("features").combine_chunks()), table.column("quality").to_numpy())
+    goods, bads = labelled.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
+    ranking = Ranking.empty()
+    if not goods or not bads:
+        _learn(ranking, goods, bads, lambda use: np.zeros(WIDTH), None)
+        return ranking
+    blocks = _blocks(labelled, goods, bads)
+    _learn(ranking, goods, bads, lambda use: _total(blocks, use), lambda ranks: _strengths_at(blocks, ranking, ranks))
+    return ranking
 
 
 def score(rows: DataFrame, ranking: Ranking) -> DataFrame:
@@ -219,7 +369,7 @@ def score(rows: DataFrame, ranking: Ranking) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn and score: doc_id, held_out, score, predicted of every row of `docs`.
 
     Only texts enter a score. Repeated rows and null ids are scored row by row, null texts as
@@ -228,4 +378,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     labelled. An empty table gives no rows. Other columns are ignored.
     """
     rows = stored(measured(docs), "measured")
-    return score(rows, fit(rows, labels, sample))
+    return score(rows, fit(rows, labels))
