@@ -206,3 +206,19 @@ def test_discovery_takes_no_more_batches_for_more_files(spark, tmp_path, monkeyp
     found = live_queries.live_discovery(spark, str(tmp_path)).select("part", "examples").collect()
     assert sorted(map(tuple, found)) == sorted((f"{source}-{i}", 1) for i, _, source in docs)
     assert 1 < len(list((tmp_path / "found").glob("batch=*"))) <= live_queries.BATCHES
+
+
+def test_monitor_query_parses_with_all_cores(spark, tmp_path, monkeypatch):
+    """Every batch brings a file for each core, and a line is parsed once."""
+    kinds = ["click", "signup", "view", "error", "purchase"]
+    events = [(i, i % 3, kinds[i % 5], float(i % 200)) for i in range(400)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    monkeypatch.setattr(live_queries, "scratch", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(logs, "cells", lambda lines, *a, make=logs.cells: seen.append(lines) or make(lines, *a))
+    assert live_queries.live_monitor(spark, str(tmp_path)).count() == 3
+    cores = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "live-lines").glob("part-*"))) == 4 * cores
+    lines = spark.createDataFrame([("r", 0, "{'loss': 0.5}")], "run string, line_no long, line string").repartition(1)
+    logs.monitor_stream(lines, 0.1)
+    assert seen[-1]._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

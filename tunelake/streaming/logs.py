@@ -11,9 +11,8 @@ import json
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -199,27 +198,25 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
                 shown = advance(state, summarise(ready, limit), limit)
                 last_line = at * cell + len(ready) - 1
             else:
-                parts = [np.frombuffer(x, LINE) for chunk in rows for x in chunk["content"]]
+                parts = [np.frombuffer(row["content"], LINE) for row in rows]
                 lines = _in_order(np.concatenate(parts))
                 late += int((lines["at"] <= last_line).sum())
                 lines = lines[lines["at"] > last_line]
                 state = shown = advance(state, summarise(lines, limit), limit)
                 last_line = int(lines["at"][-1]) if len(lines) else last_line
             self.state.update((at, last_line, *asdict(state).values(), late))
-            yield pd.DataFrame(
-                {
-                    "run": [key[0]],
-                    "line_no": [last_line],
-                    "steps": [shown.steps],
-                    "total_steps": pd.array([shown.total_steps], dtype="Int64"),
-                    "best_loss": pd.array([shown.best_loss], dtype="Float64"),
-                    "best_step": pd.array([shown.best_step], dtype="Int64"),
-                    "patience": [shown.patience],
-                    "target_hit": [shown.target_hit],
-                    "early_stopped": [shown.stop_step is not None],
-                    "stop_step": pd.array([shown.stop_step], dtype="Int64"),
-                    "late_lines": [late],
-                }
+            yield Row(
+                run=key[0],
+                line_no=last_line,
+                steps=shown.steps,
+                total_steps=shown.total_steps,
+                best_loss=shown.best_loss,
+                best_step=shown.best_step,
+                patience=shown.patience,
+                target_hit=shown.target_hit,
+                early_stopped=shown.stop_step is not None,
+                stop_step=shown.stop_step,
+                late_lines=late,
             )
 
         def waiting(self, number: int):
@@ -229,23 +226,21 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
         def take(self, rows, at: int, last_line: int) -> int:
             """Add the cells of a batch to those that wait; how many of their lines were judged before."""
             late = 0
-            for chunk in rows:
-                for number, n, whole, content in zip(chunk["cell"], chunk["n"], chunk["whole"], chunk["content"], strict=True):
-                    number = int(number)
-                    if number < at:
-                        late += int(n)
-                        continue
-                    found = self.waiting(number)
-                    if found and found[0]:
-                        continue
-                    if number == at and last_line >= at * cell:
-                        repeated = at * cell + np.arange(n) if whole else np.frombuffer(content, LINE)["at"]
-                        late += int((repeated <= last_line).sum())
-                    if found and not whole:
-                        lines = _in_order(np.concatenate([np.frombuffer(found[1], LINE), np.frombuffer(content, LINE)]))
-                        whole = len(lines) == cell
-                        content = json.dumps(summarise(lines, limit)).encode() if whole else lines.tobytes()
-                    self.pending.updateValue((number,), (bool(whole), content))
+            for _, number, n, whole, content in rows:
+                if number < at:
+                    late += n
+                    continue
+                found = self.waiting(number)
+                if found and found[0]:
+                    continue
+                if number == at and last_line >= at * cell:
+                    repeated = at * cell + np.arange(n) if whole else np.frombuffer(content, LINE)["at"]
+                    late += int((repeated <= last_line).sum())
+                if found and not whole:
+                    lines = _in_order(np.concatenate([np.frombuffer(found[1], LINE), np.frombuffer(content, LINE)]))
+                    whole = len(lines) == cell
+                    content = json.dumps(summarise(lines, limit)).encode() if whole else lines.tobytes()
+                self.pending.updateValue((number,), (bool(whole), bytes(content)))
             return late
 
         def close(self) -> None:
@@ -272,20 +267,27 @@ def monitor_stream(
     timers, so a query triggered by `availableNow` ends only with
     `spark.sql.streaming.noDataMicroBatches.enabled` set to false.
     """
-    line = F.col("line")
-    loss = logline.parse_metrics(line)["loss"]
-    slim = lines.filter("run IS NOT NULL AND line_no IS NOT NULL").select(
+    line, loss = F.col("line"), F.col("loss")
+    # a line is parsed once: in one step with what is made of the loss it would be once for each use
+    parsed = lines.filter("run IS NOT NULL AND line_no IS NOT NULL").select(
         "run",
         "line_no",
         logline.is_metrics(line).alias("is_metrics"),
+        logline.parse_metrics(line)["loss"].alias("loss"),
+        logline.total_steps(line).alias("total_steps"),
+    )
+    slim = parsed.select(
+        "run",
+        "line_no",
+        "is_metrics",
         loss.isNotNull().alias("judged"),
-        loss.alias("loss"),
+        "loss",
         logline.within_target(loss, F.lit(float(target))).alias("hit"),
-        logline.total_steps(line).alias("total_steps"),
+        "total_steps",
     )
     if not dense:
         slim = slim.filter(F.col("is_metrics") | F.col("total_steps").isNotNull())
     dealt = slim.repartition("run", F.floor(F.col("line_no") / cell))
-    return cells(dealt, dense, limit, cell).groupBy("run").transformWithStateInPandas(
+    return cells(dealt, dense, limit, cell).groupBy("run").transformWithState(
         monitor_processor(dense, limit, cell, idle_ms)(), OUTPUT, "Update", "none" if idle_ms is None else "ProcessingTime"
     )
