@@ -25,6 +25,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Lines of a cell, and lines that a task holds while it sorts them into cells.
 CELL = 1024
 BUFFER = 200_000
+#: Cells of a run that its state holds in memory at once.
+HELD = 256
 #: A fitting `idle_ms` of the monitor: a week.
 IDLE_MS = 7 * 24 * 3600 * 1000
 
@@ -183,15 +185,21 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
             self.pending = handle.getMapState("pending", "cell bigint", PENDING, idle_ms)
 
         def handleInputRows(self, key, rows, timer_values):
-            known = self.state.get() or (0, -1, *asdict(Monitor()).values(), 0)
+            known = self.state.get()
+            # each call of the state is a message: cells are asked for once, and written if they still wait
+            self.held, self.stored, self.changed, self.new = {}, set(), set(), known is None
+            known = known or (0, -1, *asdict(Monitor()).values(), 0)
             at, last_line, late = known[0], known[1], known[-1]
             state = Monitor(*known[2:-1])
             if dense:
                 late += self.take(rows, at, last_line)
                 while (found := self.waiting(at)) and found[0]:
                     state = advance(state, json.loads(found[1]), limit)
-                    self.pending.removeKey((at,))
+                    if at in self.stored:
+                        self.pending.removeKey((at,))
+                    self.held.pop(at, None)
                     at += 1
+                self.keep()
                 # of the cell that is not whole yet, the lines up to the first gap
                 begun = np.frombuffer(found[1], LINE) if found else np.empty(0, LINE)
                 ready = begun[: int((begun["at"] == at * cell + np.arange(len(begun))).sum())]
@@ -219,9 +227,19 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
                 late_lines=late,
             )
 
+        def keep(self) -> None:
+            """Write what waits and is new."""
+            for number in self.changed.intersection(self.held):
+                self.pending.updateValue((number,), self.held[number])
+
         def waiting(self, number: int):
             """(whole, content) of a cell that waits, if it does."""
-            return self.pending.getValue((number,)) if self.pending.containsKey((number,)) else None
+            if number not in self.held and not self.new:
+                found = self.pending.getValue((number,))
+                if found is not None:
+                    self.stored.add(number)
+                    self.held[number] = (found[0], found[1])
+            return self.held.get(number)
 
         def take(self, rows, at: int, last_line: int) -> int:
             """Add the cells of a batch to those that wait; how many of their lines were judged before."""
@@ -240,7 +258,11 @@ def monitor_processor(dense: bool, limit: int, cell: int = CELL, idle_ms: int |
                     lines = _in_order(np.concatenate([np.frombuffer(found[1], LINE), np.frombuffer(content, LINE)]))
                     whole = len(lines) == cell
                     content = json.dumps(summarise(lines, limit)).encode() if whole else lines.tobytes()
-                self.pending.updateValue((number,), (bool(whole), bytes(content)))
+                self.held[number] = (bool(whole), bytes(content))
+                self.changed.add(number)
+                if len(self.held) >= HELD:
+                    self.keep()
+                    self.held, self.changed, self.new = {}, set(), False
             return late
 
         def close(self) -> None:
