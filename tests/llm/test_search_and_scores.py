@@ -227,3 +227,17 @@ def test_toxicity_query_shape(spark):
 def test_one_kind_of_labels(kind):
     detector = toxicity.Detector(["a b c", "d e f"], [kind, kind])
     assert (detector.scores(["x"], ChunkTable(detector.offences, 10))[0] >= 0.5) == bool(kind)
+
+
+def test_toxicity_embeds_a_bounded_number_of_characters(monkeypatch):
+    words = [f"w{i}" * 12 for i in range(9000)] + ["x" * 100_000, "", "end"]
+    rng = np.random.default_rng(0)
+    detector = toxicity.Detector([], [])
+    detector.weights = rng.normal(size=1 << 18)
+    number, code, weight = toxicity.embed(words)
+    norm = np.maximum(np.sqrt(np.bincount(number, weights=weight**2, minlength=len(words))), 1e-12)
+    want = np.bincount(number, weights=weight * detector.weights[code], minlength=len(words)) / norm
+    sizes, embed = [], toxicity.embed
+    monkeypatch.setattr(toxicity, "embed", lambda part: sizes.append((sum(map(len, part)), len(part))) or embed(part))
+    assert np.array_equal(detector.margins(words), want + detector.bias)
+    assert all(chars <= toxicity.PART_CHARS or n == 1 for chars, n in sizes)

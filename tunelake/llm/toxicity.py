@@ -39,6 +39,10 @@ ROUNDS = 4
 #: Weight of the loss against the machine's norm; the words' weights sum to one.
 COST = 10000.0
 TABLE_WORDS = 300_000
+#: Bytes of texts whose words a worker holds at once, and characters of words that it embeds at once;
+#: both take up a hundred times as much while they are worked on. A longer one comes alone.
+TEXT_BYTES = 1 << 20
+PART_CHARS = 1 << 15
 #: Share of the positive texts that an offending word is in, at least.
 SUPPORT = 0.01
 #: Evidence from which on a word is taken as offending at first.
@@ -265,12 +269,16 @@ class Detector:
     def _values(self, words: list[str], *weights: np.ndarray):
         """Kernel expansions over the landmarks, given by subsequence weights, of each word."""
         out = np.zeros((len(weights), len(words)))
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        start = done = 0
+        while start < len(words):
+            end = max(start + 1, int(np.searchsorted(ends, done + PART_CHARS, "right")))
+            part = words[start:end]
             number, code, weight = embed(part)
             norm = np.maximum(np.sqrt(np.bincount(number, weights=weight**2, minlength=len(part))), 1e-12)
             for row, w in zip(out, weights, strict=True):
-                row[i : i + 10_000] = np.bincount(number, weights=weight * w[code], minlength=len(part)) / norm
+                row[start:end] = np.bincount(number, weights=weight * w[code], minlength=len(part)) / norm
+            start, done = end, int(ends[end - 1])
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -319,7 +327,7 @@ def score(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def run(batches):
         table = ChunkTable(model.value.offences, TABLE_WORDS)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             scores = model.value.scores(batch.column("text").to_pylist(), table)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores),
@@ -337,7 +345,7 @@ def drop_toxic(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def run(batches):
         table = ChunkTable(model.value.offences, TABLE_WORDS)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(model.value.scores(texts, table) < 0.5))
 
