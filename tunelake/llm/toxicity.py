@@ -41,8 +41,8 @@ COST = 10000.0
 TABLE_WORDS = 300_000
 #: Bytes of texts whose words a worker holds at once, and characters of words that it embeds at once;
 #: both take up a hundred times as much while they are worked on. A longer one comes alone.
-TEXT_BYTES = 1 << 20
-PART_CHARS = 1 << 15
+TEXT_BYTES = 2 << 20
+PART_CHARS = 1 << 16
 #: Share of the positive texts that an offending word is in, at least.
 SUPPORT = 0.01
 #: Evidence from which on a word is taken as offending at first.
