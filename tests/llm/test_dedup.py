@@ -1,9 +1,11 @@
 """Exact, near and passage deduplication against plain Python, with awkward rows."""
 
 import hashlib
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -213,6 +215,44 @@ def test_passages_empty(none):
     assert passages.passage_digests(none).collect() == []
 
 
+@pytest.mark.parametrize("contents", [2000, 1])
+@pytest.mark.parametrize("carry", [(), ("kept",)])
+def test_passages_deal_texts_once(spark, capsys, carry, contents):
+    """The bytes of contents and what is left of the texts come from one shuffle of the texts."""
+    shared = prose(50, 30)
+    texts = [(i, prose(60 + i, 30) + shared + prose(80 + i, 30), "en") for i in range(9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, kept string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = passages.remove_passages(docs, 40, bool(carry), contents, bool(carry), carry)
+        assert all(r.n_removed > 0 for r in got.collect() if r.doc_id or not carry)
+        got.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    reused = re.findall(r"ReusedExchange \[Reuses.*\n+Output.*\btext#", capsys.readouterr().out)
+    assert len(reused) == (1 if contents == 2000 else 2)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_runs_combined(monkeypatch, size):
+    """However many runs are combined at once, the numbers add up and the least place stays."""
+    rng = np.random.default_rng(size)
+    rows = [(None if d == 0 else d, int(k), int(s), int(s) + 1, int(a), int(c)) for d, k, s, a, c in rng.integers(0, 4, (200, 5)).tolist()]
+    names = ["doc_id", "row_key", "start", "stop", "anchor", "content"]
+    table = pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, zip(*rows, strict=True), strict=True)})
+    monkeypatch.setattr(passages, "COMBINED_RUNS", size)
+    total, least = Counter(), {}
+    for batch in passages._combined(iter(table.to_batches(max_chunksize=3))):
+        for r in batch.to_pylist():
+            key, place = (r["anchor"], r["content"]), (r["doc_id"] is not None, r["doc_id"] or 0, r["row_key"], r["start"])
+            total[key] += r["n"]
+            least[key] = min(place, least.get(key, place))
+    assert total == Counter((a, c) for *_, a, c in rows)
+    for (a, c), place in least.items():
+        assert place == min((d is not None, d or 0, k, s) for d, k, s, _, x, y in rows if (x, y) == (a, c))
+
+
 def test_smaller_neighbours():
     values = np.random.default_rng(0).permutation(200)
     before, after = passages.smaller_neighbours(values)
