@@ -180,6 +180,28 @@ def test_signatures_of_near_words_meet():
                 assert keys[i] & keys[j]
 
 
+def test_spelling_joins_never_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcde"), 7)) for _ in range(40)]
+    words = base + [w[:-1] for w in base] + ["f" * n for n in range(6, 40)]
+    docs = [(i, " ".join(w for w in words for _ in range(30 if len(w) == 7 else 5))) for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plans = []
+
+    def ran(rows):
+        out = rows.collect()
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    written = spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda rows, name: [ran(rows), written(rows, name)][1])
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) >= 10 << 20  # Spark's own
+    got = ran(spelling.variants(df))
+    assert {tuple(r) for r in got} == plain_variants(docs) and any(r.form for r in got)
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum(p.partition("Initial Plan")[0].count("SortMergeJoin") for p in plans) >= 4
+
+
 def plain_negatives(rows, n_pos=5, n_neg=5):
     used = {}
     for vec_id, v, label in rows:

@@ -8,6 +8,10 @@ share at least one. Words of equal length are compared with k = 2, words of leng
 m + 1 with k = 1. Near words also agree in their first or in their last half, so a half is part
 of every signature; permutations of the same letters, of which a vocabulary is full, do not
 crowd one signature then. Signatures are joined by equality, pairs are verified.
+
+All joins are sort-merge joins by hint. Spark sizes a stored table by its compressed file, and
+takes `signed` for as large as the words it came from, though it has some thirty rows per word:
+left to choose, it broadcasts them through the driver.
 """
 
 import re
@@ -158,7 +162,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rows = signed(words)
     left = rows.select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = rows.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    candidates = left.join(right, "key").filter("a < b")
+    candidates = left.join(right.hint("merge"), "key").filter("a < b")
     return candidates.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
 
@@ -170,7 +174,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        further = now.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         further = stored(further, "roots")
         now = further.select("word", "root")
         if further.filter("moved").isEmpty():
@@ -197,10 +201,10 @@ def variants(docs: DataFrame) -> DataFrame:
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("first")
     )
-    found = words.join(best, "word", "left").select(
+    found = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(-F.col("first.less") >= MORE * F.col("n"), F.col("first")).alias("first"),
     )
     found = stored(found.select("word", F.col("first.near").alias("form"), "n", "n_near", (-F.col("first.less")).alias("form_n")), "forms")
     led = roots(found.filter("form IS NOT NULL"))
-    return found.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(led.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
